@@ -108,3 +108,9 @@ def fold_of(doc_id: Column | str) -> Column:
     """crc32 of the id's decimal text, modulo 3; rows with 1 are held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(c.cast("string").cast("binary")) % 3
+
+
+def with_carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> tuple[DataFrame, str]:
+    """docs as (id, text) and, if columns are to go along, these as the struct ``carried``; and that struct's part of a schema."""
+    d = docs.select(F.col(id_col), F.col(text_col), *([F.struct(*carry).alias("carried")] if carry else []))
+    return d, f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""

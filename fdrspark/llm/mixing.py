@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import WORD_PATTERN, table, unit_hash
+from fdrspark.llm.common import WORD_PATTERN, stored, table, unit_hash
 
 #: A source is repeated at most so many times.
 MAX_RATE = 3.0
 SEED = "mix-1"
+#: Up to so many sources, their targets (three numbers and a name each) are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -60,7 +62,9 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     are drawn alike, and an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct(*keep).alias("kept")] if keep else []))
-    per = source_targets(rows.select("source", "size"), max_rate).withColumnRenamed("source", "s")
+    per = stored(source_targets(rows.select("source", "size"), max_rate).withColumnRenamed("source", "s"), "targets")
+    if per.count() <= BROADCAST_SOURCES:
+        per = F.broadcast(per)
     mixed = rows.join(per, rows["source"].eqNullSafe(per["s"]), "left").drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))

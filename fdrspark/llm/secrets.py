@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import sha256_hex, table, texts
+from fdrspark.llm.common import table, texts, with_carried
 
 KINDS = ("assign", "access", "hex")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -245,11 +245,12 @@ def redact(text: str, spans, mark: str = "[secret]") -> str:
 _SCHEMA = "base string, spans string, n_assign long, n_access long, n_hex long, n_layers long, n_unopened long, redacted string"
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_layer: int = MAX_LAYER, redacted: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_layer: int = MAX_LAYER, redacted: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per row of docs: id, base and all spans (``kind:start:end``), counts, layers, the redacted text if asked for.
 
     Null text counts as empty, and an empty text has no spans. Rows are worked on
-    one by one: repeated rows give repeated results, other columns are not read.
+    one by one: repeated rows give repeated results; other columns are not read, but for
+    those of ``carry``, which go along as the struct ``carried``.
     """
 
     def run(batches):
@@ -262,10 +263,10 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             types = [pa.string()] * 2 + [pa.int64()] * 5 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types)], schema=pa.schema([batch.schema.field(0), *[pa.field(n.split()[0], t) for n, t in zip(_SCHEMA.split(", "), types, strict=True)]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types), *batch.columns[2:]], names=[id_col, *[n.split()[0] for n in _SCHEMA.split(", ")], *(["carried"] if carry else [])])
 
-    d = docs.select(F.col(id_col), F.col(text_col))
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, {_SCHEMA}")
+    d, carried = with_carried(docs, id_col, text_col, carry)
+    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, {_SCHEMA}{carried}")
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:
