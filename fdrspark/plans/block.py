@@ -30,10 +30,8 @@ class _Remote(LeastAngle):
     def enter_real(self, j: int, column: np.ndarray, product: float) -> None:
         sign = 1.0 if product >= 0 else -1.0
         self.taken[j] = column
-        if self.active.shape[1]:
-            q = column - self.active @ np.linalg.lstsq(self.active, column, rcond=None)[0]
-            if np.linalg.norm(q) < 1e-8:
-                return
+        if not self.widen(column):
+            return
         self.entries.append((REAL, j, self.n_made))
         self.active = np.column_stack([self.active, sign * column])
         self.sign = np.append(self.sign, sign)
@@ -42,7 +40,7 @@ class _Remote(LeastAngle):
 
     def direction(self):
         g = self.active.T @ self.active
-        w = np.linalg.lstsq(g, np.ones(len(g)), rcond=None)[0]
+        w = np.linalg.solve(g, np.ones(len(g)))
         a = 1 / np.sqrt(max(w.sum(), 1e-300))
         return self.active @ (w * a), w * a, a
 

@@ -46,6 +46,7 @@ class Race:
         self.stick = np.ones(self.n_dummies)
         self.open = np.ones(self.n_dummies, bool)  # not yet made
         self.active = np.zeros((self.n, 0))
+        self.span = np.zeros((self.n, 0))  # of the active columns, orthonormal
         self.is_real = np.zeros(self.p, bool)
         self.made: list[int] = []
         self.fit = np.zeros(self.n)
@@ -112,15 +113,23 @@ class Race:
             z /= np.sqrt(self.n)
         return self.basis @ self.coords[:, d] + z
 
+    def widen(self, column: np.ndarray) -> bool:
+        """Take a column into the span of the active ones; False if it lies there already."""
+        q = column - self.span @ (self.span.T @ column)
+        q -= self.span @ (self.span.T @ q)
+        size = np.linalg.norm(q)
+        if size < 1e-8:
+            return False
+        self.span = np.column_stack([self.span, q / size])
+        return True
+
     def enter(self, kind: str, index: int, sign: float = 1.0) -> bool:
         """Make a column active; False if it lies in the span of the active ones, in which case it is passed over for good."""
         column = self.x[:, index] if kind == REAL else self.make(index)
         if kind == REAL:
             self.is_real[index] = True
-        if self.active.shape[1]:
-            q = column - self.active @ np.linalg.lstsq(self.active, column, rcond=None)[0]
-            if np.linalg.norm(q) < 1e-8:
-                return False
+        if not self.widen(column):
+            return False
         before = self.n_made
         if kind == DUMMY:
             self.open[index] = False
@@ -218,7 +227,7 @@ class LeastAngle(Race):
         if not len(self.entries):
             return False
         g = self.active.T @ self.active
-        w = np.linalg.lstsq(g, np.ones(len(g)), rcond=None)[0]
+        w = np.linalg.solve(g, np.ones(len(g)))
         a_top = 1 / np.sqrt(max(w.sum(), 1e-300))
         w *= a_top
         u = self.active @ w
@@ -312,9 +321,6 @@ class AdaptiveLogistic(Adaptive):
     def score(self) -> np.ndarray:
         return self.labels - 1 / (1 + np.exp(-np.clip(self.fit, -500, 500)))
 
-    def pool_products(self, v: np.ndarray) -> np.ndarray:
-        return super().pool_products(v)
-
     def target(self) -> np.ndarray:
         b = self.coef.copy()
         for _ in range(25):
@@ -331,7 +337,7 @@ class AdaptiveLogistic(Adaptive):
         self.coef = (1 - self.rho) * self.coef + self.rho * goal
         self.fit = self.active @ self.coef
         self.residual = self.score()
-        self.grow(self.residual)
+        self.grow(self.residual - self.residual.mean())  # null columns are centred, so their products see no more
 
 
 SOLVERS = {"lars": LeastAngle, "omp": MatchingPursuit, "afs": Adaptive, "afs_logistic": AdaptiveLogistic}
