@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,15 @@ def texts(batch: pa.RecordBatch, i: int) -> list[str]:
     return [x or "" for x in batch.column(i).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, i: int, most: int = 2 << 20):
+    """batch in slices whose texts in column i have about ``most`` bytes together; a longer text is a slice of its own."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // most)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import fold_of, table, texts, with_carried
+from fdrspark.llm.common import fold_of, slices, table, texts, with_carried
 
 #: The network reads a word at a time; a longer one is read in stretches of so many bytes.
 STRETCH = 32
@@ -157,9 +157,10 @@ class Labeller:
         if len(self.index) > MEMO_WORDS:
             self.forget()
         words = [t.encode("utf-8", "surrogatepass").split() for t in batch]
-        new = {w for ws in words for w in ws} - self.index.keys()
+        index = self.index
+        new = sorted(w for w in {w for ws in words for w in ws} if w not in index)
         if new:
-            self.learn(sorted(new))
+            self.learn(new)
         out = np.zeros((len(batch), self.sums.shape[1]))
         for i, ws in enumerate(words):
             if ws:
@@ -216,7 +217,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, net: BiGRU | None, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, rows: int = 512) -> DataFrame:
+def identify(docs: DataFrame, net: BiGRU | None, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """id, lang_pred, score, and label_counts: how many positions got each language, one row per row of docs.
 
     Every byte of every word of the whole text is labelled; the score is the mean
@@ -231,8 +232,7 @@ def identify(docs: DataFrame, net: BiGRU | None, *, id_col: str = "doc_id", text
     def run(batches):
         labeller = Labeller(net) if net else None
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
+            for part in slices(batch, 1):
                 ts = [t if has_letter(t) else "" for t in texts(part, 1)]
                 if labeller is None:
                     ts, pooled, c = [""] * len(ts), None, 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import stored, table, texts
+from fdrspark.llm.common import slices, stored, table, texts
 
 #: Least cosine of a notice to count.
 LEAST = 0.6
@@ -124,7 +124,7 @@ def document_frequencies(files: DataFrame, templates=TEMPLATES) -> tuple[dict[st
 
     def run(batches):
         count, n = np.zeros(len(words), np.int64), 0
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 0)):
             n += batch.num_rows
             for t in texts(batch, 0):
                 for w in set(tokens(t)) & place.keys():
@@ -150,7 +150,7 @@ def scan_files(files: DataFrame, *, templates=TEMPLATES, least: float = LEAST) -
     matcher = Matcher(templates, df, n, least)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2)):
             out = [matcher.scan(t) for t in texts(batch, 2)]
             speaks = [bool(lic) and (lead or bool(_NAMED.match((p or "").rpartition("/")[2]))) for (lic, _, lead), p in zip(out, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array(speaks, pa.bool_())], names=["id", "path", "own_license", "own_score", "speaks"])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import sha256_hex, stored, table
+from fdrspark.llm.common import sha256_hex, slices, stored, table
 
 WIDTH = 576
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -169,7 +169,7 @@ def read_payloads(store: DataFrame) -> DataFrame:
     """digest and what the stored bytes hold and show, for each row (digest, media) of a store."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             cols = [[] for _ in _FEATURES]
             for media in batch.column(1).to_pylist():
                 samples, n = read_png(media)
@@ -199,7 +199,7 @@ def pages_of_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             pages, digests, medias = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 samples, n = padded(text)

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import table, texts, with_carried
+from fdrspark.llm.common import slices, table, texts, with_carried
 
 KINDS = ("assign", "access", "hex")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -254,7 +254,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             cols = [[] for _ in range(8)]
             for text in texts(batch, 1):
                 base, every, layers, unopened = scan(text, max_layer)
