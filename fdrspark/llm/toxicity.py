@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import fold_of, stored, table, texts
+from fdrspark.llm.common import fold_of, slices, stored, table, texts
 
 #: Most labelled rows of each class that the classifier learns from, taken by hash order.
 SAMPLE = 4000
 #: Most terms that it weighs, those that tell the classes apart best; and how sure they must do.
-TERMS, LEAST_Z, LEAST_DOCS = 1000, 3.5, 5
+TERMS, LEAST_Z, LEAST_DOCS = 1000, 7.0, 5
 THRESHOLD = 0.7
+STEM = 5
 
 #: Identity terms; those of one line stand for one another.
 IDENTITY = (
@@ -37,7 +38,9 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def terms_of(text: str) -> set[str]:
-    return set(_TERM.findall(text.lower()))
+    """The words of a text in lower case, and of longer ones the first five characters, which inflected forms share."""
+    words = set(_TERM.findall(text.lower()))
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE) -> DataFrame:
@@ -161,7 +164,7 @@ def score(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_co
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in texts(batch, 1)], pa.float64())], names=[batch.schema.field(0).name, "score"])
 
     d = docs.select(F.col(id_col), F.col(text_col))
