@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import WordNames, mix, pair_name, stored, table, texts, words_of
+from fdrspark.llm.common import WordNames, mix, pair_name, slices, stored, table, texts, words_of
 
 WINDOW = 35
 #: What each round names: runs of one symbol, or pairs. Names are hashes of what they name, so all tasks agree on them.
-ROUNDS = "rppprpppppppp"
+ROUNDS = "rppp"
+#: So many neighbouring symbols of the last round make an anchor.
+SPAN = 3
 
 
 def doubled(names: np.ndarray, size: int) -> np.ndarray:
@@ -39,15 +41,16 @@ def starts_of(sizes: np.ndarray, window: int) -> np.ndarray:
 
 
 def anchors(names: np.ndarray, sizes: np.ndarray, window: int, rounds: str = ROUNDS):
-    """(starts, name, place) of all windows: a symbol that any equal window has at the same distance, and where it begins.
+    """(starts, name, place) of all windows: symbols that any equal window has at the same distance, and where they begin.
 
     Each round shortens all documents by naming runs of a symbol, or pairs whose
     first symbol falls into one half of all symbols and whose second into the
     other, by a hash. What a window's edges might share with their neighbours is
     given up: the runs at both ends, a first symbol that can be the second of a
     pair, a last that can be the first of one. The symbols between are a function
-    of the window alone. A window's anchor is the longest of them, the first of
-    equals, in the last round that leaves it any.
+    of the window alone. A window's anchor is taken from the last round that
+    leaves it SPAN symbols or more: of all SPAN in a row those of the least hash,
+    the first of equals. Windows next to each other mostly share it.
     """
     starts = starts_of(sizes, window)
     name = np.zeros(len(starts), np.uint64)
@@ -59,14 +62,25 @@ def anchors(names: np.ndarray, sizes: np.ndarray, window: int, rounds: str = ROU
     live, first, last = np.arange(len(starts)), starts.copy(), starts + window - 1
 
     def settle(which, first, last, level):
-        """Anchors of windows that have symbols first to last in this round and none in the next."""
-        size = np.diff(np.append(pos, len(names)))
-        best, longest = first.copy(), size[first]
-        for k in range(1, int((last - first).max(initial=0)) + 1):
-            at = np.minimum(first + k, last)
-            more = size[at] > longest
-            best[more], longest[more] = at[more], size[at][more]
-        name[which] = mix(sym[best], 1000 + level)
+        """Anchors of windows that have symbols first to last in this round and too few in the next."""
+        g = sym
+        for k in range(1, SPAN):
+            g = pair_name(g[:-1], sym[k:], 900 + k)
+        low = mix(g, 1000 + level)
+        # least[k][i]: where the least of low[i : i + 2**k] stands
+        least, width = [np.arange(len(g))], last - first + 2 - SPAN
+        while 2 << (len(least) - 1) <= width.max():
+            half, at = 1 << (len(least) - 1), least[-1]
+            x, y = at[:-half], at[half:]
+            least.append(np.where(low[x] <= low[y], x, y))
+        best = np.empty(len(first), np.int64)
+        power = np.frexp(width)[1] - 1
+        for k, at in enumerate(least):
+            some = np.flatnonzero(power == k)
+            if len(some):
+                x, y = at[first[some]], at[first[some] + width[some] - (1 << k)]
+                best[some] = np.where(low[x] <= low[y], x, y)
+        name[which] = low[best]
         place[which] = pos[best]
 
     for level, kind in enumerate(rounds):
@@ -90,7 +104,7 @@ def anchors(names: np.ndarray, sizes: np.ndarray, window: int, rounds: str = ROU
             second = np.flatnonzero(joins)
             new[into[second]] = pair_name(sym[second - 1], sym[second], 600)
             f, t = into[first] + bit[first], into[last] - 1 + bit[last]
-        empty = f > t
+        empty = t - f < SPAN - 1
         if empty.any():
             settle(live[empty], first[empty], last[empty], level)
         go = ~empty
@@ -135,15 +149,14 @@ def _named(batch, column, words_memo):
     return ws, sizes, words_memo.of([w for x in ws for w in x])
 
 
-def find_regions(keyed: DataFrame, window: int, rows: int = 256) -> DataFrame:
+def find_regions(keyed: DataFrame, window: int) -> DataFrame:
     """(name, content, id, h, s, m) of every document's regions."""
     id_type = keyed.schema["id"].dataType.simpleString()
 
     def run(batches):
         memo = WordNames()
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
+            for part in slices(batch, 2):
                 _, sizes, names = _named(part, 2, memo)
                 s, m, name, content = regions(names, sizes, window)
                 edge = np.cumsum(sizes) - sizes
@@ -161,8 +174,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         memo = WordNames()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, 2):
                 _, sizes, names = _named(part, 2, memo)
                 edge = np.cumsum(sizes) - sizes
                 asked = part.column(3)
@@ -186,7 +198,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             n, gone, kept = [], [], []
             for text, spans in zip(texts(batch, 1), batch.column(2).to_pylist(), strict=True):
                 ws = words_of(text)
@@ -221,12 +233,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     keyed = _key(docs, id_col, text_col)
     found = stored(find_regions(keyed, window), "regions")
-    names = found.groupBy("name").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).filter("n > 1").select(F.col("name").alias("name2"), "mixed")
-    shared = stored(found.join(names, found["name"] == names["name2"]).drop("name2"), "shared")
-    kinds = stored(shared.groupBy("name", "content").agg(F.count("*").alias("c"), F.max("mixed").alias("mixed"), F.min(F.struct("id", "h", "s", "m")).alias("one")), "kinds")
+    names = found.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("name2"))
+    shared = stored(found.join(names, found["name"] == names["name2"], "left_semi"), "shared")
+    kinds = stored(shared.groupBy("name", "content").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "s", "m")).alias("one")), "kinds")
+    mixed = kinds.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("name2"))
     same = lambda a, b: a["id"].eqNullSafe(b["id2"]) & (a["h"] == b["h2"])
 
-    asked = kinds.filter("mixed").groupBy(F.col("one.id").alias("id2"), F.col("one.h").alias("h2")).agg(F.collect_list(F.struct(F.col("one.s").alias("s"), F.col("one.m").alias("m"), "name", (F.col("c") == 1).alias("lone"))).alias("asked"))
+    asked = kinds.join(mixed, F.col("name") == F.col("name2"), "left_semi").groupBy(F.col("one.id").alias("id2"), F.col("one.h").alias("h2")).agg(F.collect_list(F.struct(F.col("one.s").alias("s"), F.col("one.m").alias("m"), "name", (F.col("c") == 1).alias("lone"))).alias("asked"))
     apart = keyed.join(asked.hint("shuffle_hash"), same(keyed, asked)).select("id", "h", "text", "asked")
     apart = stored(_windows(apart, window), "windows")
     twice = apart.groupBy("name", "w").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("name2"), F.col("w").alias("w2"))
