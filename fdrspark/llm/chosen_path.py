@@ -8,10 +8,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import WordNames, mix, pair_name, stored, table, texts, words_of
+from fdrspark.llm.common import WordNames, mix, pair_name, slices, stored, table, texts, words_of
 from fdrspark.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -20,7 +21,7 @@ TOKENS = 64
 #: Tokens that a set is expected to choose at each node of each run.
 CHOICES = 2.5
 #: Nodes of up to so many sets are compared all by all; larger ones are split, at most DEPTH times, then dealt in blocks of that size.
-LEAF, DEPTH = 1000, 5
+LEAF, DEPTH = 4000, 5
 #: Distinct sets of a candidate class that one task compares; larger classes are dealt in pairs of such blocks.
 BLOCK = 512
 _FACTORS = mix(np.arange(TOKENS, dtype=np.uint64), 11) | np.uint64(1)
@@ -67,15 +68,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
 
-def _sets(keyed: DataFrame, n: int, rows: int = 256) -> DataFrame:
+def _sets(keyed: DataFrame, n: int) -> DataFrame:
     """(id, h, fp, size, tokens): each document's set by its 128-bit fingerprint; null for documents without words."""
     id_type = keyed.schema["id"].dataType.simpleString()
 
     def run(batches):
         memo = WordNames()
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
+            for part in slices(batch, 2):
                 ws = [words_of(t) for t in texts(part, 2)]
                 flat, sizes = shingle_sets(ws, memo.of([w for x in ws for w in x]), n)
                 tokens = embed(flat, sizes)
@@ -134,25 +134,58 @@ def _paths(rows: DataFrame, choices: float, runs: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, fp binary")
 
 
-def _alike(tokens: np.ndarray, sizes: np.ndarray, least: int, ratio: float) -> np.ndarray:
-    """Which pairs share so many tokens and differ in size by no more than the ratio."""
+def _linked_rows(m: int, rows: int, linked) -> np.ndarray:
+    """For each of m sets the least set of its component, where linked(lo, hi) has the links of sets lo to hi with all, as booleans.
+
+    Links are asked for so many rows at a time and only once; a union of sets by
+    least member takes them in.
+    """
+    root = np.arange(m)
+    for lo in range(0, m, rows):
+        part = linked(lo, min(lo + rows, m))
+        i, j = np.nonzero(part)
+        if not len(i):
+            continue
+        a, b = root[i + lo], root[j]
+        while (a != b).any():
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = root[a], root[b]
+    return root
+
+
+def _alike(tokens: np.ndarray, sizes: np.ndarray, sides: np.ndarray, least: int, ratio: float) -> np.ndarray:
+    """For each set the least set of its component; links join sets that share ``least`` tokens, differ in size by no more than the ratio, and stand on different sides if there are two."""
     m = len(tokens)
-    same = np.zeros((m, m), np.uint8)
-    for i in range(TOKENS):
-        c = tokens[:, i]
-        same += c[:, None] == c[None, :]
-    return (same >= least) & (np.minimum(sizes[:, None], sizes[None, :]) >= ratio * np.maximum(sizes[:, None], sizes[None, :]))
+    order = np.argsort(sizes, kind="stable")
+    t, n, side = tokens[order], sizes[order], sides[order]
+    two = sides.any()
+
+    def linked(lo: int, hi: int) -> np.ndarray:
+        # Sizes are sorted, so that partners further on end where they are too large.
+        end = int(np.searchsorted(n, n[hi - 1] / ratio, side="right"))
+        same = np.zeros((hi - lo, end - lo), np.uint8)
+        for i in range(TOKENS):
+            same += t[lo:hi, i, None] == t[None, lo:end, i]
+        ok = (same >= least) & (n[lo:hi, None] >= ratio * n[None, lo:end]) & (n[None, lo:end] >= ratio * n[lo:hi, None])
+        if two:
+            ok &= side[lo:hi, None] != side[None, lo:end]
+        out = np.zeros((hi - lo, m), bool)
+        out[:, lo:end] = ok
+        return out
+
+    root = np.empty(m, np.int64)
+    root[order] = order[_linked_rows(m, 256, linked)]
+    least_of = np.full(m, m)
+    np.minimum.at(least_of, root, np.arange(m))
+    return least_of[root]
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
     """For each row the least row of its component."""
-    root = np.arange(len(linked))
-    while True:
-        new = np.where(linked, root[None, :], len(root)).min(1).clip(max=root)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+    return _linked_rows(len(linked), 256, lambda lo, hi: linked[lo:hi])
 
 
 def _grouped(batches, columns: int):
@@ -184,11 +217,10 @@ def _near_pairs(leaves: DataFrame, least: int, ratio: float) -> DataFrame:
         a, b = [], []
         for _, (side, fp, size, tokens) in _grouped(batches, 5):
             if len(fp) > 1:
-                sides = side.to_numpy(zero_copy_only=False)
-                linked = _alike(_tokens(tokens), size.to_numpy(zero_copy_only=False), least, ratio)
-                if sides.any():
-                    linked &= sides[:, None] != sides[None, :]
-                root = _forest(linked)
+                # In the order of names, so that all nodes with the same sets choose the same root.
+                by = pa.compute.sort_indices(fp)
+                side, fp, size, tokens = (c.take(by) for c in (side, fp, size, tokens))
+                root = _alike(_tokens(tokens), size.to_numpy(zero_copy_only=False), side.to_numpy(zero_copy_only=False), least, ratio)
                 at = np.flatnonzero(root != np.arange(len(root)))
                 if len(at):
                     a.append(fp.take(pa.array(at)))
@@ -314,8 +346,7 @@ def _elements(rows: DataFrame, n: int) -> DataFrame:
     def run(batches):
         memo = WordNames()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, at):
                 ws = [words_of(t) for t in texts(part, at)]
                 flat, sizes = shingle_sets(ws, memo.of([w for x in ws for w in x]), n)
                 edge = np.cumsum(sizes)
