@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -13,11 +14,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import table, texts
+from fdrspark.llm.common import slices, table, texts
 
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Most distinct pieces that one worker keeps the ids of; beyond it the memo starts anew.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -45,22 +46,24 @@ def rank_merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class ByteBPE:
-    """A tokenizers model made from a rank file, and memos around it.
+    """A tokenizers model made from a rank file, and a memo of what it gave.
 
     Every split of a token into two tokens is a merge with that token's rank. A
     rank file leaves ties between equal tokens to the leftmost; merges rank every
     split apart, which differs only where x + y = y + z are one token and xyz
-    stands in the text. Those pieces go through ``rank_merge``.
+    stands in the text. Stretches with such a place go through ``rank_merge``.
     """
 
     def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        import ahocorasick
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks = self.ranks = read_ranks(path)
         chars = byte_characters()
         shown = {t: "".join(chars[b] for b in t) for t in ranks}
-        merges, tied = [], set()
+        self.tied = ahocorasick.Automaton()
+        merges = []
         for t in sorted(ranks, key=ranks.get):
             for i in range(1, len(t)):
                 x, y = t[:i], t[i:]
@@ -68,58 +71,84 @@ class ByteBPE:
                     merges.append((shown[x], shown[y]))
                     z = t[len(y) :]
                     if z != y and t.startswith(y) and z in ranks:
-                        tied.add(x + t)
-                        tied.add(t + z)
+                        self.tied.add_word((x + t).decode("latin-1"), 1)
+                        self.tied.add_word((t + z).decode("latin-1"), 1)
+        if len(self.tied):
+            self.tied.make_automaton()
         self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tied = regex.compile("|".join(sorted(map(regex.escape, (t.decode("latin-1") for t in tied)), key=len)) or r"(?!)")
+        split = pre_tokenizers.Split(Regex(pattern), "isolated")
+        if pattern == public_tokenizers.PATTERN:  # which the byte level pre-tokenizer has built in
+            self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        else:
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.pattern = regex.compile(pattern)
         self.units = regex.compile(r"\s*\S+|\s+")
         self.rough = regex.compile(r" \s|\s ")
         self.table = dict(zip(ranks.values(), ranks, strict=True))
-        self.tokens: dict[str, tuple] = {}
+        self.length = np.zeros(max(self.table) + 1, np.int64)
+        for i, t in self.table.items():
+            self.length[i] = len(t)
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.ends = [], [], []  # of each known unit, back to back
-        self.first, self.chars = [0], []
-
-    def _exact(self, word: str) -> tuple[list[int], list[tuple[int, int]]]:
-        data = word.encode("utf-8", "surrogatepass")
-        parts = [data] if data in self.ranks else rank_merge(data, self.ranks)
-        char = [i for i, c in enumerate(word) for _ in c.encode("utf-8", "surrogatepass")]
-        at, spans = 0, []
-        for p in parts:
-            spans.append((char[at], char[at + len(p) - 1] + 1))
-            at += len(p)
-        return [self.ranks[p] for p in parts], spans
+        self.ids, self.starts, self.ends = array("i"), array("i"), array("i")  # of each known unit, back to back
+        self.first, self.chars = array("i", [0]), array("i")
 
-    def _learn(self, units: list[str]) -> None:
-        """Ids and offsets of units that aren't known yet."""
-        split = [self.pattern.findall(u) for u in units]
-        fresh = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.tokens]
-        plain = []
-        for w in fresh:
+    def _exact(self, text: str) -> list[int]:
+        """Ids by the rank file's own rule."""
+        out = []
+        for w in self.pattern.findall(text):
             data = w.encode("utf-8", "surrogatepass")
-            if self.tied.search(data.decode("latin-1")):
-                self.tokens[w] = self._exact(w)
-            else:
-                plain.append(w)
-        for w, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
-            self.tokens[w] = (e.ids, e.offsets)
-        for u, ws in zip(units, split, strict=True):
-            at = 0
-            for w in ws:
-                ids, spans = self.tokens[w]
-                self.ids += ids
-                for a, b in spans:
-                    self.starts.append(at + a)
-                    self.ends.append(at + b)
-                at += len(w)
-            self.index[u] = len(self.chars)
-            self.first.append(len(self.ids))
-            self.chars.append(len(u))
+            out += [self.ranks[p] for p in ([data] if data in self.ranks else rank_merge(data, self.ranks))]
+        return out
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, units: list[str]) -> None:
+        """Ids and offsets of units that aren't known yet.
+
+        Units with a space before and no white space behind are encoded end to
+        end, for the pattern parts them again; others one by one.
+        """
+        apart = [u for u in units if u[0] != " " or u[-1].isspace()]
+        joint = [u for u in units if u[0] == " " and not u[-1].isspace()]
+        tied = set()
+        if joint and len(self.tied):
+            data = "".join(joint).encode("utf-8", "surrogatepass").decode("latin-1")
+            hits = np.array([i for i, _ in self.tied.iter(data)], np.int64)
+            if len(hits):
+                stops = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in joint])
+                tied = set(np.searchsorted(stops, hits, side="right").tolist())
+        apart += [joint[i] for i in sorted(tied)]
+        joint = [u for i, u in enumerate(joint) if i not in tied]
+        for lo in range(0, len(joint), 4096):
+            part = joint[lo : lo + 4096]
+            self._keep(part, np.array(self._ids("".join(part)), np.int64))
+        for u in apart:
+            raw = u.encode("utf-8", "surrogatepass").decode("latin-1")
+            odd = len(self.tied) and next(self.tied.iter(raw), None) is not None
+            self._keep([u], np.array(self._exact(u) if odd else self._ids(u), np.int64))
+
+    def _keep(self, units: list[str], ids: np.ndarray) -> None:
+        """Note the tokens of units that were encoded end to end: bytes tell which are whose, and their places in characters."""
+        data = np.frombuffer("".join(units).encode("utf-8", "surrogatepass"), np.uint8)
+        char = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte
+        stop = np.cumsum(self.length[ids])
+        if (stop[-1] if len(stop) else 0) != len(data):
+            raise ValueError("the tokens' bytes aren't the text's")
+        start = stop - self.length[ids]
+        sizes = np.array([len(u) for u in units])
+        begin = np.cumsum(sizes) - sizes
+        tokens = np.searchsorted(char[start], begin) if len(ids) else np.zeros(len(units), np.int64)
+        n = np.diff(np.append(tokens, len(ids)))
+        shift = np.repeat(begin, n)
+        base = len(self.ids)
+        for to, values in ((self.ids, ids), (self.starts, char[start] - shift), (self.ends, char[stop - 1] + 1 - shift), (self.first, base + np.cumsum(n)), (self.chars, sizes)):
+            to.frombytes(np.asarray(values, np.intc).tobytes())
+        at = len(self.index)
+        self.index.update(zip(units, range(at, at + len(units)), strict=True))
 
     def _units(self, text: str) -> list[str]:
         """Stretches that the pattern treats apart: words with the white space before them."""
@@ -132,21 +161,21 @@ class ByteBPE:
 
     def encode(self, batch: list[str]):
         """(ids, starts, ends) back to back, and the number of tokens before each text and after the last."""
-        if len(self.index) > MEMO_PIECES or len(self.tokens) > 2 * MEMO_PIECES:
-            self.tokens = {}
+        if len(self.index) > MEMO_PIECES:
             self.forget()
         units = [self._units(t) for t in batch]
-        new = {u for us in units for u in us} - self.index.keys()
+        index = self.index
+        new = [u for u in {u for us in units for u in us} if u not in index]
         if new:
-            self._learn(list(new))
-        which = np.fromiter((i for us in units for i in map(self.index.__getitem__, us)), dtype=np.int64, count=sum(map(len, units)))
-        ids, starts, ends, first, chars = (np.array(x, dtype=np.int32) for x in (self.ids, self.starts, self.ends, self.first, self.chars))
-        n = (first[1:] - first[:-1])[which] if len(which) else np.zeros(0, np.int32)
+            self._learn(new)
+        which = np.fromiter((i for us in units for i in map(index.__getitem__, us)), dtype=np.int64, count=sum(map(len, units)))
+        ids, starts, ends, first, chars = (np.array(x, dtype=np.intc) for x in (self.ids, self.starts, self.ends, self.first, self.chars))
+        n = first[which + 1] - first[which]
         stop = np.cumsum(n, dtype=np.int64)
-        place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - n, n) + np.repeat(first[which].astype(np.int64) if len(which) else which, n)
+        place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - n, n) + np.repeat(first[which].astype(np.int64), n)
         per = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         edge = np.concatenate([[0], np.cumsum(per)])
-        size = chars[which].astype(np.int64) if len(which) else which
+        size = chars[which].astype(np.int64)
         begun = np.cumsum(size) - size
         if len(which):
             begun -= np.repeat(begun[np.minimum(edge[:-1], len(begun) - 1)], per)
@@ -167,7 +196,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN, offsets: bool = True, rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN, offsets: bool = True) -> DataFrame:
     """id, ids array<int>, and with offsets starts and ends array<int>, one row per row of docs.
 
     The ids are those of the rank file, each match of the pattern apart, without
@@ -179,8 +208,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     def run(batches):
         b = coder(ranks, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
+            for part in slices(batch, 1):
                 ids, starts, ends, bounds = b.encode(texts(part, 1))
                 out = [part.column(0), _lists(ids, bounds)]
                 names = [batch.schema.field(0).name, "ids"]
@@ -193,7 +221,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
 
 
-def decode(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN, rows: int = 128) -> DataFrame:
     """id, ids and the bytes that they stand for, and these as text.
 
     Bytes of one character may lie in several tokens, so bytes are joined before
@@ -205,8 +233,10 @@ def decode(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", r
     def run(batches):
         b = coder(ranks, pattern)
         for batch in batches:
-            out = [b.decode(x or ()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], names=[batch.schema.field(0).name, "ids", "bytes", "text"])
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                out = [b.decode(x or ()) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], names=[batch.schema.field(0).name, "ids", "bytes", "text"])
 
     d = tokens.select(F.col(id_col), F.col(ids_col).alias("ids"))
     return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, ids array<int>, bytes binary, text string")
