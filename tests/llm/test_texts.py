@@ -333,3 +333,31 @@ def test_matcher_equals_a_dense_cosine():
     for r in m.rows:
         assert sum(x * x for w, x in r.items() if w not in m.anchors) < licenses.LEAST**2
     assert words_of("a\x0bb\x0cc") == [b"a", b"b", b"c"]
+
+
+def test_everyday_words_beside_a_notice_weigh_as_often_as_they_stand(spark):
+    rng = np.random.default_rng(1)
+    everyday = [f"word{i}" for i in range(60)]
+    prose = [" ".join(rng.permutation(everyday)[:50]) for _ in range(400)]
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    runs = "word1 word2\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nrare0 rare1 rare2 rare3 rare4 rare5 rare6"
+    ts = [*prose, f"word1 word2 word3 {mit} word4 word5", f"{' '.join(everyday[:8])} {gpl}", runs, "word1 rareword under the rareother", mit, mit]
+    d = spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t in enumerate(ts)], "id long, path string, text string")
+    df = Counter(w for t in ts for w in set(licenses.tokens(t)))
+    m = licenses.Matcher(licenses.TEMPLATES, df, len(ts))
+    for common in (licenses.COMMON, 2.0):  # few words by join, and all
+        got = {r["id"]: r for r in licenses.scan_files(d, common=common).collect()}
+        assert len(got) == len(ts)
+        assert [got[400 + i]["own_license"] for i in range(6)] == ["MIT", "GPL-3.0", "GPL-3.0", None, "MIT", "MIT"]
+        assert all(abs(got[i]["own_score"] - m.scan(t)[1]) < 1e-6 for i, t in enumerate(ts))
+
+
+def test_the_best_run_is_the_best_of_all_runs():
+    rng = np.random.default_rng(2)
+    words = [*licenses.tokens(" ".join(t for _, t in licenses.TEMPLATES[:12])), *(f"w{i}" for i in range(20))]
+    m = licenses.Matcher(licenses.TEMPLATES, {w: int(rng.integers(1, 900)) for w in words}, 1000, least=0.3)
+    for _ in range(30):
+        lines = [" ".join(rng.choice(words, 5)) for _ in range(9)]
+        want = max(m.best(" ".join(lines[a:b]))[0] for a in range(9) for b in range(a + 1, 10))
+        score = m.scan("\n".join(lines))[1]
+        assert abs(score - want) < 1e-5 or want < 0.3
