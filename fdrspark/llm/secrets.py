@@ -32,7 +32,9 @@ _PCT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESC = re.compile(
     r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
-_B64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]*={0,2}|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}", re.ASCII)
+_B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+_STANDARD = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}", re.ASCII)
+_URL_SAFE = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}", re.ASCII)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -162,6 +164,19 @@ def _unescape(m: re.Match) -> str:
         return s
 
 
+def _decoded(run: str) -> bytes:
+    """The bytes of base64 in either alphabet, over one line or more, padded or not."""
+    run = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    if len(run) % 4 == 1:
+        run = run[:-1]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _narrower(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Runs of one alphabet within a run of both."""
+    return [m.span() for p in (_STANDARD, _URL_SAFE) for m in p.finditer(text, a, b) if m.span() != (a, b)]
+
+
 def _children(layer: Layer, most: int) -> tuple[list[Layer], int]:
     text, out, unopened = layer.text, [], 0
     if "%" in text:
@@ -186,19 +201,19 @@ def _children(layer: Layer, most: int) -> tuple[list[Layer], int]:
         if found:
             out.append(_replaced(layer, found))
     for m in _B64.finditer(text):
-        run = "".join(m[0].split()).rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-            inner = _opened(data, most)
-        except OverflowError:
-            unopened += 1
-            continue
-        except (binascii.Error, ValueError):
-            continue
-        if inner:
-            out.append(Layer(inner, [0], [(*layer.place(m.start(), m.end()), False)]))
+        work = [m.span()]
+        for a, b in work:
+            try:
+                inner = _opened(_decoded(text[a:b]), most)
+            except OverflowError:
+                unopened += 1
+                continue
+            except (binascii.Error, ValueError):
+                inner = None
+            if inner:
+                out.append(Layer(inner, [0], [(*layer.place(a, b), False)]))
+            else:
+                work += _narrower(text, a, b)
     return out, unopened
 
 

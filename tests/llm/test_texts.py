@@ -91,6 +91,23 @@ def test_secrets_of_odd_rows(spark):
     assert secrets.find_secrets(d.limit(0)).count() == 0
 
 
+def _kinds(text, **more):
+    return {k for k, _, _ in secrets.scan(text, **more)[1]}
+
+
+def _payloads():
+    rng = np.random.default_rng(4)
+    return [f"id {rng.random()} password = hunter{i:05d} and {rng.random()}" for i in range(60)]
+
+
+def test_url_safe_runs_are_read_whole():
+    for p in _payloads():
+        packed = zlib.compress(p.encode())
+        assert "assign" in _kinds("see " + base64.urlsafe_b64encode(packed).decode().rstrip("=") + " there")
+        assert "assign" in _kinds("see " + base64.urlsafe_b64encode(f"a? >>??>>?? {p}".encode()).decode() + " there")
+        assert "assign" in _kinds("name-" + base64.b64encode(p.encode()).decode())
+
+
 # Byte-level BPE
 
 
