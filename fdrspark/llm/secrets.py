@@ -33,6 +33,7 @@ _ESC = re.compile(
     r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
 _B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _STANDARD = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}", re.ASCII)
 _URL_SAFE = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}", re.ASCII)
 
@@ -71,31 +72,34 @@ class Layer:
         return first, (a + end - self.cuts[j] if exact else b)
 
 
+def _codec(data: bytes):
+    """What makes a decompressor for the stream that some bytes begin; None if they begin none."""
+    if data[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 1 and not (data[0] * 256 + data[1]) % 31:
+        return lambda: zlib.decompressobj(15)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor
+    return None
+
+
 def _inflate(data: bytes, most: int) -> bytes | None:
     """What a compressed stream holds; None if it isn't one. OverflowError beyond ``most`` bytes."""
-    if data[:2] == b"\x1f\x8b":
-        make = lambda: zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 1 and not (data[0] * 256 + data[1]) % 31:
-        make = lambda: zlib.decompressobj(15)
-    elif data[:3] == b"BZh":
-        make = bz2.BZ2Decompressor
-    elif data[:6] == b"\xfd7zXZ\x00":
-        make = lzma.LZMADecompressor
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(most + 1)
-        except zstandard.ZstdError:
-            return None
-        if len(out) > most:
-            raise OverflowError
-        return out
-    else:
+    make = _codec(data)
+    if make is None:
         return None
     try:
         d = make()
-        out = d.decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+        if make is zstandard.ZstdDecompressor:
+            with d.stream_reader(data) as r:
+                out = r.read(most + 1)
+        else:
+            out = d.decompress(data, most + 1)
+    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, zstandard.ZstdError):
         return None
     if len(out) > most:
         raise OverflowError
@@ -173,8 +177,24 @@ def _decoded(run: str) -> bytes:
 
 
 def _narrower(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Runs of one alphabet within a run of both."""
-    return [m.span() for p in (_STANDARD, _URL_SAFE) for m in p.finditer(text, a, b) if m.span() != (a, b)]
+    """Other readings of a run that gives nothing as a whole.
+
+    Of several lines: without the last one, each by itself, from the first line in
+    each other step of four characters to the end, and from each line that
+    begins as a compressed stream does. Of one line: its runs of one alphabet.
+    """
+    if "\n" not in text[a:b]:
+        return [m.span() for p in (_STANDARD, _URL_SAFE) for m in p.finditer(text, a, b) if m.span() != (a, b)]
+    lines = [m.span() for m in _LINE.finditer(text, a, b)]
+    out, steps, size = [(a, lines[-2][1]), *lines], {0}, 0
+    for x, y in lines:
+        if size % 4 not in steps or size and _codec(_decoded(text[x : x + 8])):
+            out.append((x, b))
+            if x < lines[-1][0]:
+                out.append((x, lines[-2][1]))
+        steps.add(size % 4)
+        size += y - x
+    return out
 
 
 def _children(layer: Layer, most: int) -> tuple[list[Layer], int]:
@@ -212,7 +232,7 @@ def _children(layer: Layer, most: int) -> tuple[list[Layer], int]:
                 inner = None
             if inner:
                 out.append(Layer(inner, [0], [(*layer.place(a, b), False)]))
-            else:
+            elif (a, b) == m.span() or "\n" not in text[a:b]:
                 work += _narrower(text, a, b)
     return out, unopened
 

@@ -108,6 +108,21 @@ def test_url_safe_runs_are_read_whole():
         assert "assign" in _kinds("name-" + base64.b64encode(p.encode()).decode())
 
 
+def test_a_run_that_ends_its_line_leaves_the_next_word():
+    rng = np.random.default_rng(6)
+    for p in _payloads():
+        noise = rng.bytes(171).hex()
+        for data in (p.encode(), zlib.compress((noise + p).encode()), bz2.compress((noise + p).encode())):
+            run = base64.b64encode(data).decode().rstrip("=")
+            wrapped = "\n".join(run[i : i + 76] for i in range(0, len(run), 76))
+            for after in (" Hello world", "\nHello world", "\nHello, world"):
+                assert "assign" in _kinds(wrapped + after)
+            width = max(60, len(run) // 2 + 1)
+            full = "\n".join(run[i : i + width] for i in range(0, len(run), width))
+            assert "assign" in _kinds(full + "\nHello world")
+            assert "assign" in _kinds("k" * 61 + "\n" + wrapped + "\nHello world")
+
+
 # Byte-level BPE
 
 
