@@ -10,6 +10,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -21,8 +22,10 @@ from fdrspark.llm.common import slices, table, texts, with_carried
 
 KINDS = ("assign", "access", "hex")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-#: A compressed layer that would grow beyond this is not opened; the row's n_unopened counts it.
+#: A compressed layer that grows beyond this is read in windows, not as a whole; the row's n_unopened counts it.
 MAX_LAYER = 64 << 20
+#: Bytes of such a window at the most, a quarter of which the next one holds as well; and bytes unpacked at a time.
+WINDOW, PIECE = 4 << 20, 1 << 20
 
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _STEMS = ("passw", "secret", "token", "apikey", "api_key")
@@ -33,6 +36,9 @@ _ESC = re.compile(
     r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
 _B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+#: What a layer must hold for a scan to find or open anything in it; and stretches of UTF-16.
+_HINT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
+_WIDE = re.compile(rb"(?:[\x20-\x7e]\x00){8,}")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _STANDARD = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}", re.ASCII)
 _URL_SAFE = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}", re.ASCII)
@@ -87,44 +93,96 @@ def _codec(data: bytes):
     return None
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """What a compressed stream holds; None if it isn't one. OverflowError beyond ``most`` bytes."""
-    make = _codec(data)
-    if make is None:
-        return None
-    try:
-        d = make()
-        if make is zstandard.ZstdDecompressor:
-            with d.stream_reader(data) as r:
-                out = r.read(most + 1)
-        else:
-            out = d.decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, zstandard.ZstdError):
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return out
-
-
-def _readable(data: bytes) -> str | None:
+def _pieces(data: bytes):
+    """What the compressed streams at the head of some bytes hold, piece by piece; returns the bytes after them."""
+    while make := _codec(data):
+        some = False
+        try:
+            if make is zstandard.ZstdDecompressor:
+                with make().stream_reader(data, read_across_frames=True) as r:
+                    while piece := r.read(PIECE):
+                        some = True
+                        yield piece
+                return b""
+            d, feed = make(), data
+            while not d.eof:
+                piece = d.decompress(feed, PIECE)
+                feed = getattr(d, "unconsumed_tail", b"")
+                if piece:
+                    some = True
+                    yield piece
+                elif not feed:
+                    break
+        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, zstandard.ZstdError):
+            return b"" if some else data
+        if not d.eof:
+            return b"" if some else data
+        data = d.unused_data.lstrip(b"\0")
+    return data
+
+
+def _readings(data: bytes):
+    """(text, whether it reads well) of some bytes: as UTF-8, else as Latin-1, and stretches of UTF-16 as such.
+
+    Of bytes that don't read well only those that hold something to find or open.
+    """
     try:
         text = data.decode("utf-8")
+        well = sum(c < " " and c not in "\t\n\r\f\v" for c in text) * 8 <= len(text)
     except UnicodeDecodeError:
-        return None
-    odd = sum(c < " " and c not in "\t\n\r\f\v" for c in text)
-    return text if text and odd * 8 <= len(text) else None
-
-
-def _opened(data: bytes, most: int) -> str | None:
-    """The text in some bytes, compressed once or more or not at all."""
-    seen = set()
-    while (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+        text, well = data.decode("latin-1"), False
+    if text and (well or _HINT.search(data)):
+        yield text, well
+    if b"\0" in data:
+        # Big-endian characters are little-endian ones a byte later.
+        for k in sorted({m.start() % 2 for m in _WIDE.finditer(data + b"\0")}):
+            wide = (data + b"\0")[k:]
+            text = wide[: len(wide) // 2 * 2].decode("utf-16-le", "replace")
+            if _HINT.search(text.encode("ascii", "replace")):
+                yield text, False
+
+
+def _windows(pieces, size: int):
+    """Windows over a stream, each of which begins with the last quarter of the one before."""
+    held = b""
+    for piece in pieces:
+        held += piece
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size - size // 4 :]
+    yield held
+
+
+def _opened(data: bytes, most: int, long: list[int]):
+    """(text, whether it reads well) of the layers in some bytes, compressed once or more or not at all.
+
+    A layer beyond ``most`` bytes adds one to ``long`` and is read in windows.
+    """
+    seen, work = set(), [(data, True)]
+    while work:
+        data, whole = work.pop()
+        key = hashlib.blake2b(data, digest_size=16).digest()
+        if not data or key in seen:
+            continue
         seen.add(key)
-        more = _inflate(data, most)
-        if more is None:
-            break
-        data = more
-    return _readable(data)
+        out, size, rest, pieces = [], 0, b"", _pieces(data)
+        while size <= most:
+            try:
+                out.append(next(pieces))
+            except StopIteration as end:
+                rest = end.value
+                break
+            size += len(out[-1])
+        if size > most:
+            long[0] += 1
+            for w in _windows(chain(out, pieces), min(most, WINDOW)):
+                for text, _ in _readings(w):
+                    yield text, True
+        elif out:
+            work += [(rest, False), (b"".join(out), whole and not rest)]
+        else:
+            for text, well in _readings(data):
+                yield text, well and whole
 
 
 def _replaced(layer: Layer, found: list[tuple[int, int, str]]) -> Layer:
@@ -188,7 +246,7 @@ def _narrower(text: str, a: int, b: int) -> list[tuple[int, int]]:
     lines = [m.span() for m in _LINE.finditer(text, a, b)]
     out, steps, size = [(a, lines[-2][1]), *lines], {0}, 0
     for x, y in lines:
-        if size % 4 not in steps or size and _codec(_decoded(text[x : x + 8])):
+        if size % 4 not in steps or size and _codec(_decoded(text[x : min(x + 8, y)])):
             out.append((x, b))
             if x < lines[-1][0]:
                 out.append((x, lines[-2][1]))
@@ -197,70 +255,66 @@ def _narrower(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
-def _children(layer: Layer, most: int) -> tuple[list[Layer], int]:
-    text, out, unopened = layer.text, [], 0
+def _children(layer: Layer, most: int, long: list[int]):
+    """The layers in a layer, one by one; ``long`` counts those beyond ``most`` bytes."""
+    text = layer.text
     if "%" in text:
         found = []
         for m in _PCT.finditer(text):
             data = unquote_to_bytes(m[0])
-            try:
-                inner = _opened(data, most)
-            except OverflowError:
-                unopened, inner = unopened + 1, None
-            if inner is not None and inner.encode() != data:
-                out.append(Layer(inner, [0], [(*layer.place(m.start(), m.end()), False)]))
+            for inner, _ in _opened(data, most, long):
+                if data not in (inner.encode("utf-8", "replace"), inner.encode("latin-1", "replace")):
+                    yield Layer(inner, [0], [(*layer.place(m.start(), m.end()), False)])
             # Byte by byte where each is a character, so that spans stay narrow.
             if data.isascii():
                 found += [(m.start() + 3 * i, m.start() + 3 * i + 3, chr(c)) for i, c in enumerate(data)]
             else:
                 found.append((m.start(), m.end(), data.decode("utf-8", "replace")))
         if found:
-            out.append(_replaced(layer, found))
+            yield _replaced(layer, found)
     if "\\" in text or "&#" in text:
         found = [(m.start(), m.end(), c) for m in _ESC.finditer(text) if (c := _unescape(m)) != m[0]]
         if found:
-            out.append(_replaced(layer, found))
+            yield _replaced(layer, found)
     for m in _B64.finditer(text):
         work = [m.span()]
         for a, b in work:
             try:
-                inner = _opened(_decoded(text[a:b]), most)
-            except OverflowError:
-                unopened += 1
-                continue
+                data = _decoded(text[a:b])
             except (binascii.Error, ValueError):
-                inner = None
-            if inner:
-                out.append(Layer(inner, [0], [(*layer.place(a, b), False)]))
-            elif (a, b) == m.span() or "\n" not in text[a:b]:
+                data = b""
+            well = False
+            for inner, good in _opened(data, most, long):
+                well |= good
+                yield Layer(inner, [0], [(*layer.place(a, b), False)])
+            if not well and ((a, b) == m.span() or "\n" not in text[a:b]):
                 work += _narrower(text, a, b)
-    return out, unopened
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """(base spans, all spans, layers opened, layers left unopened) of one text.
+    """(base spans, all spans, layers opened, layers too long to open as a whole) of one text.
 
     A worklist starts with the text; each layer is scanned, and the texts that its
     URL, Unicode, base64 and compressed stretches decode to are put on the list,
     until none is left. A layer whose text and origin were seen before is not
     opened again, which ends cycles. Spans found in a layer are mapped to the
-    code points of the text they stand in.
+    code points of the text they stand in. A layer of more than ``max_layer``
+    bytes is read in overlapping windows, each a layer of its own.
     """
     base = sorted(base_spans(text), key=lambda s: (s[1], _ORDER[s[0]], s[2]))
-    found, seen, unopened = set(base), set(), 0
-    work = [Layer(text, [0], [(0, len(text), True)])] if text else []
+    found, seen, long = set(base), set(), [0]
+    work = [_children(Layer(text, [0], [(0, len(text), True)]), max_layer, long)] if text else []
     while work:
-        layer = work.pop()
-        if layer.cuts != [0] or not layer.origin[0][2]:
-            found |= {(k, *layer.place(a, b)) for k, a, b in base_spans(layer.text)}
-        children, n = _children(layer, max_layer)
-        unopened += n
-        for c in children:
-            key = (hashlib.blake2b(c.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), c.origin[0], c.origin[-1])
-            if c.text and key not in seen:
-                seen.add(key)
-                work.append(c)
-    return base, sorted(found, key=lambda s: (s[1], _ORDER[s[0]], s[2])), len(seen), unopened
+        c = next(work[-1], None)
+        if c is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(c.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), c.origin[0], c.origin[-1]) if c.text else None
+        if key and key not in seen:
+            seen.add(key)
+            found |= {(k, *c.place(a, b)) for k, a, b in base_spans(c.text)}
+            work.append(_children(c, max_layer, long))
+    return base, sorted(found, key=lambda s: (s[1], _ORDER[s[0]], s[2])), len(seen), long[0]
 
 
 def join_spans(spans) -> str:

@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
@@ -123,6 +124,35 @@ def test_a_run_that_ends_its_line_leaves_the_next_word():
             assert "assign" in _kinds("k" * 61 + "\n" + wrapped + "\nHello world")
 
 
+@pytest.mark.parametrize(
+    "pack",
+    [
+        lambda s: s.encode() + " caf\xe9 au lait".encode("latin-1"),
+        lambda s: s.encode("utf-16"),
+        lambda s: b"x" + s.encode("utf-16-be"),
+        lambda s: np.random.default_rng(3).bytes(99) + b" " + s.encode() + b"\xff\0\1\2" * 9,
+        lambda s: gzip.compress(b"first") + gzip.compress(s.encode()),
+        lambda s: bz2.compress(b"first") + bz2.compress(s.encode()),
+        lambda s: lzma.compress(b"first") + lzma.compress(s.encode()),
+        lambda s: zstandard.compress(b"first") + zstandard.compress(s.encode()),
+        lambda s: gzip.compress(b"first") + bz2.compress(s.encode("utf-16")),
+    ],
+)
+def test_layers_that_are_no_clean_text_are_scanned(pack):
+    text = "see " + base64.b64encode(pack(PLAIN)).decode() + " there"
+    base, spans, *_ = secrets.scan(text)
+    assert not base and {k for k, _, _ in spans} >= {"assign", "access"}
+    assert KEY not in secrets.redact(text, spans) and all(4 <= a < b <= len(text) - 6 for _, a, b in spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_long_layers_are_read_in_windows(pack):
+    for at in (0, 749, 990, 20_000):
+        data = b"a b " * (at // 4) + b" " * (at % 4) + PLAIN.encode() + b" c d" * 5000
+        _, spans, _, long = secrets.scan(base64.b64encode(pack(data)).decode(), max_layer=1000)
+        assert {k for k, _, _ in spans} >= {"assign", "access"} and long == 1
+
+
 # Byte-level BPE
 
 
