@@ -12,8 +12,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay: those with a letter."""
+    """Documents whose language can be told stay: those with a letter, also where there was nothing to learn languages from."""
     net = langid.train(docs.filter(fold_of("doc_id") != 1))
+    if net is None:
+        letter = F.udf(langid.has_letter, "boolean")
+        return docs.filter(letter(F.coalesce("text", F.lit("")))).select(*COLUMNS)
     named = langid.identify(docs, net, carry=COLUMNS)
     return named.filter(F.col("lang_pred") != langid.UNDETERMINED).select("carried.*")
 

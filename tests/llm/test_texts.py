@@ -322,6 +322,14 @@ def test_language_of_held_out_rows_and_odd_ones(spark):
     assert langid.train(odd.limit(0)) is None and {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_texts_with_letters_stay_where_no_language_is_known(spark):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.keep_language(spark, frame(spark, [*ODD, "123 !!"], lang=None).withColumn("lang", F.lit(None).cast("string")), SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(ODD) if langid.has_letter(t or "")]
+
+
 def test_pooling_counts_repeats():
     net = langid.BiGRU(["a", "b"], hidden=4)
     lab = langid.Labeller(net)
