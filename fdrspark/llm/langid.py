@@ -14,8 +14,8 @@ from fdrspark.llm.common import fold_of, slices, table, texts, with_carried
 
 #: The network reads a word at a time; a longer one is read in stretches of so many bytes.
 STRETCH = 32
-#: Bounds of the training sample: documents of each language, words of each of them.
-SAMPLE_DOCS, SAMPLE_WORDS = 300, 200
+#: Bounds of the training sample: documents of each language, words (stretches of longer ones) of each of them, and those of a language that the network learns from.
+SAMPLE_DOCS, SAMPLE_WORDS, LEARNT_WORDS = 300, 200, 8000
 MEMO_WORDS = 300_000
 UNDETERMINED = "und"
 
@@ -173,7 +173,7 @@ class Labeller:
 
 
 def training_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS, per_doc: int = SAMPLE_WORDS) -> DataFrame:
-    """(word, lang): words drawn from all of a text, from a bounded sample of documents of each language, by hash order."""
+    """(word, lang): words, longer ones in stretches, drawn from all of a text, from a bounded sample of documents of each language, by hash order."""
     d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     d = d.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.col("id"))
@@ -183,18 +183,18 @@ def training_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             words, langs = [], []
             for i, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ws = text.encode("utf-8", "surrogatepass").split()
+                ws = [w[k : k + STRETCH] for w in text.encode("utf-8", "surrogatepass").split() for k in range(0, len(w), STRETCH)]
                 if len(ws) > per_doc:
                     ws = [ws[k] for k in np.random.default_rng(zlib.crc32(str(i).encode())).choice(len(ws), per_doc, replace=False)]
-                words += [w[:STRETCH] for w in ws]
+                words += ws
                 langs += [lang] * len(ws)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(langs, pa.string())], names=["word", "lang"])
 
     return d.select("id", "text", "lang").mapInArrow(run, "word binary, lang string")
 
 
-def train(docs: DataFrame, *, hidden: int = 24, epochs: int = 6, **columns) -> BiGRU | None:
-    """The network for the languages of docs, of which it takes the bounded sample; None if that is empty."""
+def train(docs: DataFrame, *, hidden: int = 24, epochs: int = 6, per_net: int = LEARNT_WORDS, **columns) -> BiGRU | None:
+    """The network for the languages of docs, from ``per_net`` words of each at the most, drawn from the bounded sample; None if that is empty."""
     rows = sorted((r["lang"], bytes(r["word"])) for r in training_words(docs, **columns).toLocalIterator())
     if not rows:
         return None
@@ -205,7 +205,7 @@ def train(docs: DataFrame, *, hidden: int = 24, epochs: int = 6, **columns) -> B
     for lang, w in rows:
         by[lang].append(w)
     rng = np.random.default_rng(3)
-    size = min(8000, max(map(len, by.values())))
+    size = min(per_net, max(map(len, by.values())))
     words, labels = [], []
     for lang, ws in by.items():
         words += [ws[k] for k in rng.choice(len(ws), size, replace=len(ws) < size)]

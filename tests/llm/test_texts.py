@@ -330,6 +330,15 @@ def test_texts_with_letters_stay_where_no_language_is_known(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(ODD) if langid.has_letter(t or "")]
 
 
+def test_training_words_reach_to_the_end_of_long_ones(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(40))
+    got = sorted(bytes(r["word"]) for r in langid.training_words(frame(spark, [text, "short words"])).collect())
+    data = text.encode()
+    assert got == sorted([*(data[k : k + 32] for k in range(0, len(data), 32)), b"short", b"words"])
+    many = frame(spark, ["日本語" * 5000])
+    assert langid.training_words(many).count() == langid.SAMPLE_WORDS
+
+
 def test_pooling_counts_repeats():
     net = langid.BiGRU(["a", "b"], hidden=4)
     lab = langid.Labeller(net)
