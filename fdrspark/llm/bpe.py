@@ -14,11 +14,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import slices, table, texts
+from fdrspark.llm.common import sha256_hex, slices, table, texts, trimmed
 
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Most distinct pieces that one worker keeps the ids of; beyond it the memo starts anew.
-MEMO_PIECES = 250_000
+#: Most bytes, with an entry's overhead each, of the pieces that one worker keeps the ids of; beyond it the memo starts anew.
+MEMO_BYTES, ENTRY_BYTES = 40 << 20, 190
+#: Bytes of text that one call of the encoder gets; a longer text is a call of its own.
+CALL_BYTES = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -84,9 +86,8 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.units = regex.compile(r"\s*\S+|\s+")
         self.rough = regex.compile(r" \s|\s ")
-        self.table = dict(zip(ranks.values(), ranks, strict=True))
-        self.length = np.zeros(max(self.table) + 1, np.int64)
-        for i, t in self.table.items():
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
             self.length[i] = len(t)
         self.forget()
 
@@ -94,6 +95,7 @@ class ByteBPE:
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.ends = array("i"), array("i"), array("i")  # of each known unit, back to back
         self.first, self.chars = array("i", [0]), array("i")
+        self.held = 0
 
     def _exact(self, text: str) -> list[int]:
         """Ids by the rank file's own rule."""
@@ -149,6 +151,7 @@ class ByteBPE:
             to.frombytes(np.asarray(values, np.intc).tobytes())
         at = len(self.index)
         self.index.update(zip(units, range(at, at + len(units)), strict=True))
+        self.held += len(data) + ENTRY_BYTES * len(units)
 
     def _units(self, text: str) -> list[str]:
         """Stretches that the pattern treats apart: words with the white space before them."""
@@ -161,7 +164,7 @@ class ByteBPE:
 
     def encode(self, batch: list[str]):
         """(ids, starts, ends) back to back, and the number of tokens before each text and after the last."""
-        if len(self.index) > MEMO_PIECES:
+        if self.held > MEMO_BYTES:
             self.forget()
         units = [self._units(t) for t in batch]
         index = self.index
@@ -169,7 +172,8 @@ class ByteBPE:
         if new:
             self._learn(new)
         which = np.fromiter((i for us in units for i in map(index.__getitem__, us)), dtype=np.int64, count=sum(map(len, units)))
-        ids, starts, ends, first, chars = (np.array(x, dtype=np.intc) for x in (self.ids, self.starts, self.ends, self.first, self.chars))
+        # Views: gone before the memo grows again.
+        ids, starts, ends, first, chars = (np.frombuffer(x, np.intc) if len(x) else np.zeros(0, np.intc) for x in (self.ids, self.starts, self.ends, self.first, self.chars))
         n = first[which + 1] - first[which]
         stop = np.cumsum(n, dtype=np.int64)
         place = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - n, n) + np.repeat(first[which].astype(np.int64), n)
@@ -183,8 +187,25 @@ class ByteBPE:
         bounds = np.concatenate([[0], stop])[edge]
         return ids[place], (starts[place] + shift).astype(np.int32), (ends[place] + shift).astype(np.int32), bounds
 
+
+class ByteTable:
+    """Decoding: tokens as strings of byte characters, which the reversed table turns back into bytes. No tokenizer."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        chars = byte_characters()
+        self.shown = [""] * (max(ranks.values(), default=-1) + 1)
+        for t, r in ranks.items():
+            self.shown[r] = "".join(chars[b] for b in t)
+        self.byte_of = np.zeros(512, np.uint8)
+        for b, c in enumerate(chars):
+            self.byte_of[ord(c)] = b
+
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        """The bytes of all ids together, so that a character split over tokens is whole again."""
+        if any(not 0 <= i < len(self.shown) or not self.shown[i] for i in set(ids)):
+            raise ValueError("an id that the ranks lack")
+        shown = "".join(map(self.shown.__getitem__, ids))
+        return self.byte_of[np.frombuffer(shown.encode("utf-16-le"), np.uint16)].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -192,6 +213,11 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> ByteTable:
+    return ByteTable(read_ranks(path))
+
+
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
 
@@ -202,13 +228,15 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     The ids are those of the rank file, each match of the pattern apart, without
     special tokens. starts and ends are code points of the text; tokens that hold
     parts of one character all have that character's place. Null counts as empty
-    and has no ids. Rows stand alone: repeated rows repeat their results.
+    and has no ids. Rows stand alone: repeated rows repeat their results, an empty
+    table gives none, other columns, whatever their names, are not read, and a
+    text of any length is encoded whole.
     """
 
     def run(batches):
         b = coder(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, CALL_BYTES):
                 ids, starts, ends, bounds = b.encode(texts(part, 1))
                 out = [part.column(0), _lists(ids, bounds)]
                 names = [batch.schema.field(0).name, "ids"]
@@ -216,22 +244,25 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
                     out += [_lists(starts, bounds), _lists(ends, bounds)]
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        b.forget()
 
     d = docs.select(F.col(id_col), F.col(text_col))
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {d.schema[0].dataType.simpleString()}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets)
 
 
-def decode(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN, rows: int = 128) -> DataFrame:
+def decode(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks: str = DEFAULT_RANKS, rows: int = 128) -> DataFrame:
     """id, ids and the bytes that they stand for, and these as text.
 
-    Bytes of one character may lie in several tokens, so bytes are joined before
-    they are read as UTF-8; what is no UTF-8 then shows as U+FFFD in ``text``
-    while ``bytes`` stays exact. Null ids count as none; an id that the rank file
-    lacks is an error.
+    Tokens are strings of byte characters; the reversed byte table turns them into
+    bytes. Bytes of one character may lie in several tokens, so all are joined
+    before they are read as UTF-8; what is no UTF-8 then shows as U+FFFD in
+    ``text`` while ``bytes`` stays exact. Null ids count as none; an id that the
+    rank file lacks is an error. Repeated rows repeat their results, an empty table
+    gives none, and other columns are not read.
     """
 
     def run(batches):
-        b = coder(ranks, pattern)
+        b = byte_table(ranks)
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
@@ -239,14 +270,39 @@ def decode(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", r
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], names=[batch.schema.field(0).name, "ids", "bytes", "text"])
 
     d = tokens.select(F.col(id_col), F.col(ids_col).alias("ids"))
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, ids array<int>, bytes binary, text string")
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {d.schema[0].dataType.simpleString()}, ids array<int>, bytes binary, text string")
+
+
+def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, offsets_sha256, decoded_sha256, and ids if asked for, one row per row of docs.
+
+    Texts are encoded and their ids decoded in one worker, so that neither ids nor
+    bytes travel but where they are wanted. The digests are those of the ids in
+    decimal, joined by commas; of the starts, then the ends of all tokens in code
+    points, as 32-bit little-endian numbers; and of the decoded bytes. Nulls, ties,
+    repeated rows, empty tables and other columns as in ``encode``.
+    """
+
+    def run(batches):
+        b, back = coder(ranks, pattern), byte_table(ranks)
+        said = [str(i) for i in range(len(back.shown))]
+        for batch in batches:
+            for part in slices(batch, 1, CALL_BYTES):
+                ids, starts, ends, bounds = b.encode(texts(part, 1))
+                n, digests = np.diff(bounds), ([], [], [])
+                for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                    own = ids[lo:hi].tolist()
+                    digests[0].append(sha256_hex(",".join(map(said.__getitem__, own)).encode()))
+                    digests[1].append(sha256_hex(starts[lo:hi].tobytes() + ends[lo:hi].tobytes()))
+                    digests[2].append(sha256_hex(back.decode(own)))
+                out = [part.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in digests]]
+                yield pa.RecordBatch.from_arrays([*out, _lists(ids, bounds)] if keep_ids else out, names=names)
+        b.forget()
+
+    d = docs.select(F.col(id_col), F.col(text_col))
+    names = [id_col, "n_tokens", "ids_sha256", "offsets_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {d.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, offsets_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    back = decode(encode(table(spark, sf_dir, "documents"), offsets=False))
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+    return round_trip(table(spark, sf_dir, "documents"))

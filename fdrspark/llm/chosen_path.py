@@ -9,10 +9,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import WordNames, mix, pair_name, slices, stored, table, texts, words_of
+from fdrspark.llm.common import WordNames, hot_keys, join_split, mix, pair_name, slices, stored, table, text_digest, texts, trimmed, words_of
 from fdrspark.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -22,8 +22,8 @@ TOKENS = 64
 CHOICES = 2.5
 #: Nodes of up to so many sets are compared all by all; larger ones are split, at most DEPTH times, then dealt in blocks of that size.
 LEAF, DEPTH = 4000, 5
-#: Distinct sets of a candidate class that one task compares; larger classes are dealt in pairs of such blocks.
-BLOCK = 512
+#: Distinct sets of a candidate class, and bytes of them, that make a block; larger classes are dealt in pairs of blocks, so that a set is sent once for each block of its class.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _FACTORS = mix(np.arange(TOKENS, dtype=np.uint64), 11) | np.uint64(1)
 
 
@@ -65,7 +65,7 @@ def embed(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("h"), F.col(text_col).alias("text"))
 
 
 def _sets(keyed: DataFrame, n: int) -> DataFrame:
@@ -83,7 +83,7 @@ def _sets(keyed: DataFrame, n: int) -> DataFrame:
                 fps = [hashlib.blake2b(flat[a : a + k].tobytes(), digest_size=16).digest() if k else None for a, k in zip(edge.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.binary()), pa.array(sizes), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["id", "h", "fp", "size", "tokens"])
 
-    return keyed.mapInArrow(run, f"id {id_type}, h int, fp binary, size long, tokens binary")
+    return keyed.mapInArrow(trimmed(run), f"id {id_type}, h binary, fp binary, size long, tokens binary")
 
 
 def runs_for(recall: float, choices: float = CHOICES, threshold: float = THRESHOLD) -> int:
@@ -131,7 +131,7 @@ def _paths(rows: DataFrame, choices: float, runs: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), fp.take(pa.array(row))], names=["node", "fp"])
 
     rows_fp = rows.columns.index("fp")
-    return rows.mapInArrow(run, "node long, fp binary")
+    return rows.mapInArrow(trimmed(run), "node long, fp binary")
 
 
 def _linked_rows(m: int, rows: int, linked) -> np.ndarray:
@@ -232,19 +232,18 @@ def _near_pairs(leaves: DataFrame, least: int, ratio: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(a), pa.concat_arrays(b)], names=["a", "b"])
 
     parts = leaves.repartition("node").sortWithinPartitions("node")
-    return parts.select("node", "side", "fp", "size", "tokens").mapInArrow(run, "a binary, b binary")
+    return parts.select("node", "side", "fp", "size", "tokens").mapInArrow(trimmed(run), "a binary, b binary")
 
 
-def _block_pairs(rows: DataFrame, group: str, count: str, block: int) -> DataFrame:
-    """rows dealt to pairs of blocks of about ``block`` rows of their group: (pair, side) besides the columns.
+def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """rows dealt to pairs of the so many blocks of their group: (pair, side) besides the columns.
 
     Two rows of a group meet in one pair: that of their blocks, or if these are
     the same, that of the block with itself, where all have side 0.
     """
-    blocks = F.ceil(F.col(count) / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("_n"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-    d = rows.withColumn("_n", blocks).withColumn("_own", own).withColumn("_other", other)
+    d = rows.withColumn("_n", blocks.cast("long")).withColumn("_own", own).withColumn("_other", other)
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     return d.withColumn("pair", F.xxhash64(group, low, high)).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("_n", "_own", "_other")
 
@@ -264,8 +263,8 @@ def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, recall: float
     found = []
     for level in range(depth + 1):
         paths = stored(paths, f"paths{level}")
-        many = paths.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("node", "node2")
-        met = paths.join(many, paths["node"] == many["node2"]).select("node", "n", "fp").dropDuplicates(["node", "fp"])
+        many = stored(paths.groupBy(F.col("node").alias("node2")).agg(F.count("*").alias("n")).filter("n > 1"), f"many{level}")
+        met = join_split(paths, many, "node", "node2", hot_keys(many, "node2", "n"), ["fp"]).select("node", "n", "fp").dropDuplicates(["node", "fp"])
         met = stored(met.join(nodes, "fp").select("node", "n", "fp", "size", "tokens"), f"met{level}")
         small = met.filter(F.col("n") <= leaf).withColumn("side", F.lit(0))
         found.append(stored(_near_pairs(small, least, threshold), f"near{level}"))
@@ -273,7 +272,7 @@ def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, recall: float
         if large.isEmpty():
             break
         if level == depth:
-            dealt = _block_pairs(large, "node", "n", leaf // 2).drop("node").withColumnRenamed("pair", "node")
+            dealt = _block_pairs(large, "node", F.ceil(F.col("n") / F.lit(leaf // 2))).drop("node").withColumnRenamed("pair", "node")
             found.append(stored(_near_pairs(dealt, least, threshold), "near_blocks"))
         else:
             paths = _paths(large.select("node", "fp", "tokens"), choices, 1)
@@ -336,7 +335,7 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.binary()), pa.array(links[some]), pa.array([names[root[i]] for i in some], pa.binary())], names=["fp", "links", "root"])
 
     parts = members.repartition("pair").sortWithinPartitions("pair")
-    return parts.select("pair", "side", "fp", "copies", "elements").mapInArrow(run, "fp binary, links long, root binary")
+    return parts.select("pair", "side", "fp", "copies", "elements").mapInArrow(trimmed(run), "fp binary, links long, root binary")
 
 
 def _elements(rows: DataFrame, n: int) -> DataFrame:
@@ -354,7 +353,7 @@ def _elements(rows: DataFrame, n: int) -> DataFrame:
                 keep = [i for i in range(part.num_columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(data, pa.binary())], names=[*[part.schema.field(i).name for i in keep], "elements"])
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", elements binary")
+    return rows.mapInArrow(trimmed(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", elements binary")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, leaf: int, depth: int, block: int) -> DataFrame:
@@ -366,20 +365,22 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     # min of a struct would take a null id first; least ids come from a column of their own.
     nodes = stored(sets.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.max(place).alias("one"), F.min("size").alias("size"), F.min("tokens").alias("tokens")), "nodes")
     near = components(candidates(nodes.select("fp", "size", "tokens"), threshold=threshold, recall=recall, leaf=leaf, depth=depth))
-    sizes = near.groupBy("label").agg(F.count("*").alias("members")).withColumnRenamed("label", "label2")
-    members = near.join(sizes, near["label"] == sizes["label2"]).select(F.col("node").alias("fp"), "label", "members")
-    members = members.join(nodes.select("fp", "copies", "one"), "fp").select("fp", "label", "members", "copies", F.col("one.id").alias("id2"), F.col("one.h").alias("h2"))
-    held = keyed.join(members.hint("shuffle_hash"), keyed["id"].eqNullSafe(members["id2"]) & (keyed["h"] == members["h2"])).select("fp", "label", "members", "copies", "text")
-    dealt = _block_pairs(_elements(held, n), "label", "members", block)
+    near = stored(near.join(nodes.withColumnRenamed("fp", "node"), "node").select(F.col("node").alias("fp"), "label", "copies", "size", F.col("one.id").alias("id2"), F.col("one.h").alias("h2")), "near")
+    counts = near.groupBy(F.col("label").alias("label2")).agg(F.count("*").alias("members"), F.sum("size").alias("elements"))
+    counts = stored(counts.withColumn("blocks", F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("elements") * 8 / BLOCK_BYTES))), "counts")
+    members = join_split(near, counts, "label", "label2", hot_keys(counts, "label2", "members"), ["fp"]).select("fp", "label", "blocks", "copies", "id2", "h2")
+    held = keyed.join(members.hint("shuffle_hash"), keyed["id"].eqNullSafe(members["id2"]) & (keyed["h"] == members["h2"])).select("fp", "label", "blocks", "copies", "text")
+    dealt = _block_pairs(_elements(held, n), "label", F.col("blocks"))
     verified = stored(_verify(dealt, threshold), "verified")
     classes = components(verified.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("fp").agg(F.sum("links").alias("links"))
     named = nodes.select("fp", "copies", "least").join(links, "fp", "left").join(classes.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", F.coalesce("label", "fp").alias("label"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = stored(named, "named")
-    ids = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    result = named.join(ids, "label").select(F.col("fp").alias("fp2"), "label", "class_id", "n_links")
-    out = every.select("id", "h", "fp", "size").join(result, F.col("fp") == F.col("fp2"), "left")
+    ids = named.groupBy(F.col("label").alias("label2")).agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    result = join_split(named, ids, "label", "label2", hot_keys(ids, "label2", "n"), ["fp"]).select(F.col("fp").alias("fp2"), "label", "class_id", "n_links")
+    # Copies of one set lie together under its fingerprint, and may be very many.
+    out = join_split(every.select("id", "h", "fp", "size"), result, "fp", "fp2", hot_keys(nodes, "fp", "copies"), ["id", "h"], "left")
     alone = F.col("fp").isNull()
     return out.select("id", "h", "size", "label", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -398,7 +399,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A text of fewer than n words, but some, is one n-gram. Null, empty and
     wordless texts are classes of their own without links. Rows that repeat id
     and text are copies of each other; null ids are never a class_id unless the
-    class has no other, in which case class_id is null.
+    class has no other, in which case class_id is null. Rows with equal or null ids
+    are told apart by a digest of their texts. An empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
     c = _classes(docs, id_col, text_col, n, threshold, recall, leaf, depth, block)
     return c.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("size").alias("n_shingles"))
@@ -414,7 +417,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "h", "n")).alias("one")).select("one.id", "one.h", "one.n")
     bare = c.filter("label IS NULL").select("id", "h", F.lit(1).cast("long").alias("n")).distinct()
     kept = stored(first.unionByName(bare).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("n").alias("_n")), "kept")
-    got = docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["_id"]) & (F.hash(docs[text_col]) == kept["_h"]))
+    got = docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["_id"]) & (text_digest(docs[text_col]) == kept["_h"]))
     whole = got.filter("_n = 1").select(*[docs[x] for x in docs.columns])
     if kept.filter("_n > 1").isEmpty():
         return whole

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -13,8 +14,12 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most distinct words whose names one worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+#: Most bytes of words, with an entry's overhead each, whose names one worker keeps; beyond it the memo starts anew.
+MEMO_BYTES, ENTRY_BYTES = 24 << 20, 150
+#: Most bytes of an Arrow batch on its way to or from a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Keys with more than 1/HOT of all rows are hot: there are fewer than HOT of them. Their rows are dealt over SALTS tasks.
+HOT, SALTS = 1000, 64
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,18 +37,38 @@ def sha256_hex(data: bytes) -> str:
 
 
 class WordNames(dict):
-    """word -> 64-bit name (BLAKE2b), kept for words seen by this worker."""
+    """word -> 64-bit name (BLAKE2b), kept for words seen by this worker, within MEMO_BYTES."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
         name = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self.held += len(word) + ENTRY_BYTES
         return name
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.clear()
+            self.held = 0
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def trimmed(run):
+    """A map over batches that gives unused memory back to the system when its task ends, for workers outlive tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A bijective finaliser (SplitMix64) of x + salt; x is left as it is."""
     with np.errstate(over="ignore"):
@@ -105,6 +130,8 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; batches to Python are bounded by bytes from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -120,7 +147,48 @@ def fold_of(doc_id: Column | str) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 3
 
 
-def with_carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> tuple[DataFrame, str]:
-    """docs as (id, text) and, if columns are to go along, these as the struct ``carried``; and that struct's part of a schema."""
-    d = docs.select(F.col(id_col), F.col(text_col), *([F.struct(*carry).alias("carried")] if carry else []))
-    return d, f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""
+def text_digest(text: Column | str) -> Column:
+    """128 bits (MD5) that stand for a text; null has no bits, but a value."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.unhex(F.md5(c.cast("binary"))), F.lit(b""))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """(_hot): keys that hold more than 1/HOT of all rows, from (key, rows); fewer than HOT, whatever the input is. None if no key does."""
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    least = max(1000, (total or 0) // HOT)
+    return counts.filter(F.col(n) > least).select(F.col(key).alias("_hot")) if (most or 0) > least else None
+
+
+def join_split(rows: DataFrame, side: DataFrame, key: str, side_key: str, hot: DataFrame | None, spread: list[str], how: str = "inner", on=None) -> DataFrame:
+    """rows joined to side, rows of hot keys dealt over SALTS tasks by a hash of ``spread``, side's rows of these keys sent to each.
+
+    hot has fewer than HOT keys, which bounds what is broadcast; all other keys
+    have at most 1/HOT of the rows each. ``on`` is a further condition.
+    """
+    if hot is None:
+        same = rows[key] == side[side_key]
+        return rows.join(side, same if on is None else same & on(rows, side), how)
+    h = F.broadcast(hot)
+    dealt = rows.join(h, rows[key] == h["_hot"], "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.lit(SALTS))).cast("int")).drop("_hot")
+    salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    sent = side.join(F.broadcast(hot), side[side_key] == F.col("_hot"), "left").withColumn("_salt2", F.explode(salts)).drop("_hot")
+    same = (dealt[key] == sent[side_key]) & (dealt["_salt"] == sent["_salt2"])
+    return dealt.join(sent, same if on is None else same & on(dealt, sent), how).drop("_salt", "_salt2")
+
+
+def with_carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> tuple[DataFrame, list[str], str]:
+    """docs as (id, text, other columns to go along), these columns' names, and their part of a schema as the struct ``carried``.
+
+    Id and text go to the worker once; ``carried_of`` puts them into the struct.
+    """
+    more = [c for c in carry or () if c not in (id_col, text_col)]
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(more)])
+    if not carry:
+        return d, [], ""
+    return d, more, f", carried {docs.select(F.struct(*carry).alias('c')).schema['c'].dataType.simpleString()}"
+
+
+def carried_of(part: pa.RecordBatch, id_col: str, text_col: str, carry: list[str], more: list[str]) -> pa.Array:
+    place = {id_col: 0, text_col: 1} | {c: 2 + k for k, c in enumerate(more)}
+    return pa.StructArray.from_arrays([part.column(place[c]) for c in carry], names=list(carry))

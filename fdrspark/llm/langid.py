@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import fold_of, slices, table, texts, with_carried
+from fdrspark.llm.common import carried_of, fold_of, slices, table, texts, trimmed, with_carried
 
-#: The network reads a word at a time; a longer one is read in stretches of so many bytes.
-STRETCH = 32
-#: Bounds of the training sample: documents of each language, words (stretches of longer ones) of each of them, and those of a language that the network learns from.
-SAMPLE_DOCS, SAMPLE_WORDS, LEARNT_WORDS = 300, 200, 8000
-MEMO_WORDS = 300_000
+#: Bytes of a stretch that get their labels from it, bytes around them that it reads besides, and stretches that go side by side.
+CORE, MARGIN, STRETCHES = 224, 16, 512
+#: Bytes of a stretch in training. Bounds of the training sample: documents of each language, stretches of each of them, and stretches of a language that the network learns from.
+LEARN, SAMPLE_DOCS, SAMPLE_STRETCHES, LEARNT = 48, 300, 16, 1500
+HIDDEN, EPOCHS = 16, 4
 UNDETERMINED = "und"
 
 
@@ -27,7 +27,7 @@ def _sigmoid(x):
 class BiGRU:
     """Two GRUs, left to right and right to left, and a softmax at each byte."""
 
-    def __init__(self, classes: list[str], hidden: int = 24, seed: int = 7):
+    def __init__(self, classes: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
         h, c = hidden, len(classes)
         self.classes, self.hidden = classes, h
@@ -64,7 +64,7 @@ class BiGRU:
         return y / y.sum(axis=2, keepdims=True), both, cf, cb
 
     def gradients(self, x: np.ndarray, label: np.ndarray):
-        """Loss and its gradients, back through all bytes of the words x (time, batch)."""
+        """Loss and its gradients, back through all bytes of the stretches x (time, batch)."""
         p, both, cf, cb = self.probabilities(x, keep=True)
         T, B, C = p.shape
         at = np.arange(B)
@@ -77,7 +77,7 @@ class BiGRU:
         ds = dy @ self.p["out"].T
         for d, caches, xs, up in (("f", cf, x, ds[:, :, :h]), ("b", cb, x[::-1], ds[::-1, :, h:])):
             u = self.p[f"u{d}"]
-            gx, gu = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(u)
+            gx, gu, pres = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(u), np.empty((T, B, 3 * h), np.float32)
             back = np.zeros((B, h), np.float32)
             for t in range(T - 1, -1, -1):
                 s, z, r, n, bn = caches[t]
@@ -85,21 +85,24 @@ class BiGRU:
                 dn = e * (1 - z) * (1 - n * n)
                 dz = e * (s - n) * z * (1 - z)
                 dr = dn * bn * r * (1 - r)
-                pre = np.concatenate([dz, dr, dn], axis=1)
+                pres[t] = np.concatenate([dz, dr, dn], axis=1)
                 inner = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(gx, xs[t], pre)
                 gu += s.T @ inner
                 back = e * z + inner @ u.T
+            seen = xs.ravel()
+            order = np.argsort(seen, kind="stable")
+            cuts = np.flatnonzero(np.diff(seen[order], prepend=-1))
+            gx[seen[order][cuts]] = np.add.reduceat(pres.reshape(T * B, -1)[order], cuts, axis=0)
             g[f"x{d}"], g[f"u{d}"] = gx, gu
         return loss, g
 
-    def fit(self, words: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 7) -> BiGRU:
-        """Adam over batches of words of one length, in an order drawn by the seed."""
+    def fit(self, found: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 7) -> BiGRU:
+        """Adam over batches of stretches of one length, in an order drawn by the seed."""
         rng = np.random.default_rng(seed)
         by = defaultdict(list)
-        for i, w in enumerate(words):
+        for i, w in enumerate(found):
             by[len(w)].append(i)
-        data = {n: (np.frombuffer(b"".join(words[i] for i in ids), np.uint8).reshape(-1, n), labels[ids]) for n, ids in by.items() if n}
+        data = {n: (np.frombuffer(b"".join(found[i] for i in ids), np.uint8).reshape(-1, n), labels[ids]) for n, ids in by.items() if n}
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         step = 0
         total = epochs * sum(-(-len(a) // batch) for a, _ in data.values())
@@ -119,98 +122,143 @@ class BiGRU:
 
 
 class Labeller:
-    """Sums of position probabilities and counts of position labels, per word, for words seen by this worker."""
+    """Labels every byte of texts: the network runs over stretches that overlap, and each byte's label comes from inside one.
 
-    def __init__(self, net: BiGRU):
-        self.net = net
-        self.forget()
-
-    def forget(self):
-        self.index: dict[bytes, int] = {}
-        self.sums = np.zeros((0, 2 * len(self.net.classes)), np.float32)
+    A stretch has CORE bytes to label and MARGIN bytes before and after them, where
+    the text has these, so that states reach over words and over the stretches' edges.
+    """
 
-    def learn(self, words: list[bytes]) -> None:
-        c = len(self.net.classes)
-        out = np.zeros((len(words), 2 * c), np.float32)
-        by = defaultdict(list)
-        for i, w in enumerate(words):
-            for a in range(0, len(w), STRETCH):
-                by[min(STRETCH, len(w) - a)].append((i, a))
-        for n, places in by.items():
-            for lo in range(0, len(places), 8192):
-                part = places[lo : lo + 8192]
-                x = np.frombuffer(b"".join(words[i][a : a + n] for i, a in part), np.uint8).reshape(-1, n).T
-                p = self.net.probabilities(x)[0]
-                rows = np.array([i for i, _ in part])
-                np.add.at(out[:, :c], rows, p.sum(0))
-                votes = np.zeros((len(part), c), np.float32)
-                best = p.argmax(2)
-                for k in range(c):
-                    votes[:, k] = (best == k).sum(0)
-                np.add.at(out[:, c:], rows, votes)
-        for w in words:
-            self.index[w] = len(self.index)
-        self.sums = np.concatenate([self.sums, out])
+    def __init__(self, net: BiGRU):
+        self.net, h = net, net.hidden
+        self.sides = {}
+        for d in "fb":
+            # A gate's sigmoid is (1 + tanh(x / 2)) / 2; the halves go into the weights.
+            half = np.concatenate([np.full(2 * h, 0.5, np.float32), np.ones(h, np.float32)])
+            self.sides[d] = np.ascontiguousarray(net.p[f"x{d}"] * half), np.ascontiguousarray((net.p[f"u{d}"] * half).T)
+        self.out = np.ascontiguousarray(net.p["out"].T)
+
+    def _logits(self, x: np.ndarray, live: np.ndarray, d: str) -> np.ndarray:
+        """(time, class, batch) of bytes (time, batch); at each time the first ``live`` rows have one. States are (hidden, batch).
+
+        Every step writes into the same few arrays, which stay in the cache.
+        """
+        h, (wx, u) = self.net.hidden, self.sides[d]
+        head = np.ascontiguousarray(self.out[:, :h] if d == "f" else self.out[:, h:])
+        T, B = x.shape
+        logits = np.zeros((T, len(head), B), np.float32)
+        width = 0
+        for t in range(T):
+            k = int(live[t])
+            if k != width:
+                s = np.zeros((h, k), np.float32) if t == 0 else np.ascontiguousarray(s[:, :k])
+                rows, a, b, o = np.empty((k, 3 * h), np.float32), np.empty((3 * h, k), np.float32), np.empty((3 * h, k), np.float32), np.empty((len(head), k), np.float32)
+                g, n, m, width = a[: 2 * h], a[2 * h :], b[2 * h :], k
+            np.take(wx, x[t, :k], axis=0, mode="clip", out=rows)
+            np.copyto(a, rows.T)
+            np.matmul(u, s, out=b)
+            g += b[: 2 * h]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            m *= g[h:]
+            n += m
+            np.tanh(n, out=n)
+            s -= n
+            s *= g[:h]
+            s += n
+            logits[t, :, :k] = np.matmul(head, s, out=o)
+        return logits
 
     def pooled(self, batch: list[str]) -> np.ndarray:
-        """For each text the mean probabilities, then the label counts, over all positions of its words."""
-        if len(self.index) > MEMO_WORDS:
-            self.forget()
-        words = [t.encode("utf-8", "surrogatepass").split() for t in batch]
-        index = self.index
-        new = sorted(w for w in {w for ws in words for w in ws} if w not in index)
-        if new:
-            self.learn(new)
-        out = np.zeros((len(batch), self.sums.shape[1]))
-        for i, ws in enumerate(words):
-            if ws:
-                rows = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-                total = self.sums[rows].sum(0, dtype=np.float64)
-                c = total.size // 2
-                out[i, :c] = total[:c] / total[:c].sum()
-                out[i, c:] = total[c:]
+        """For each text the mean probabilities, then the label counts, over all its bytes; zeros for empty ones."""
+        data = [t.encode("utf-8", "surrogatepass") for t in batch]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        c = len(self.net.classes)
+        out = np.zeros((len(batch), 2 * c))
+        cores = -(-size // CORE)
+        doc = np.repeat(np.arange(len(batch)), cores)
+        at = (np.arange(len(doc)) - np.repeat(np.cumsum(cores) - cores, cores)) * CORE
+        lo, hi = np.maximum(at - MARGIN, 0), np.minimum(at + CORE + MARGIN, size[doc])
+        base = (np.cumsum(size) - size)[doc]
+        order = np.argsort(lo - hi, kind="stable")  # the longest first
+        for k in range(0, len(order), STRETCHES):
+            rows = order[k : k + STRETCHES]
+            first, n = base[rows] + lo[rows], hi[rows] - lo[rows]
+            T = int(n[0])
+            t = np.arange(T)[:, None]
+            live = np.searchsorted(-n, -np.arange(T), side="left")
+            inside = t < n
+            x = flat[np.minimum(first + t, len(flat) - 1)].astype(np.intp)
+            y = self._logits(x, live, "f")
+            # The way back reads a stretch from its end; its labels are turned round.
+            back, col = np.where(inside, n - 1 - t, 0), np.arange(len(rows))
+            z = self._logits(x[back, col], live, "b")
+            y += z[::-1] if inside.all() else np.take_along_axis(z, back[:, None, :], axis=0)
+            y += self.net.p["bias"][:, None]
+            y -= y.max(1, keepdims=True)
+            np.exp(y, out=y)
+            y /= y.sum(1, keepdims=True)
+            mine = inside & (t >= at[rows] - lo[rows]) & (t < np.minimum(at[rows] + CORE, size[doc[rows]]) - lo[rows])
+            best = y.argmax(1)
+            for q in range(c):
+                np.add.at(out[:, q], doc[rows], np.where(mine, y[:, q], 0).sum(0, dtype=np.float64))
+                np.add.at(out[:, c + q], doc[rows], (mine & (best == q)).sum(0))
+        out[:, :c] /= np.maximum(size, 1)[:, None]
         return out
 
 
-def training_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS, per_doc: int = SAMPLE_WORDS) -> DataFrame:
-    """(word, lang): words, longer ones in stretches, drawn from all of a text, from a bounded sample of documents of each language, by hash order."""
-    d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+def sampled_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> DataFrame:
+    """(id, text, lang): a bounded sample of documents of each language, by hash order of their ids.
+
+    Ids are ranked without texts, and of each task no more than ``per_lang`` a
+    language; then the texts of those picked are looked up. Rows that repeat an id
+    are one place in the order.
+    """
+    d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     d = d.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.col("id"))
-    d = d.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
+    picked = d.select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select(F.col("id").alias("id2"), F.col("lang").alias("lang2")).distinct()
+    # picked has per_lang rows a language at the most.
+    return d.join(F.broadcast(picked), (F.col("id") == F.col("id2")) & (F.col("lang") == F.col("lang2")), "left_semi")
+
+
+def training_stretches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS, per_doc: int = SAMPLE_STRETCHES) -> DataFrame:
+    """(stretch, lang): stretches of LEARN bytes drawn from all of a text, from a bounded sample of documents of each language."""
 
     def run(batches):
         for batch in batches:
-            words, langs = [], []
+            found, langs = [], []
             for i, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ws = [w[k : k + STRETCH] for w in text.encode("utf-8", "surrogatepass").split() for k in range(0, len(w), STRETCH)]
-                if len(ws) > per_doc:
-                    ws = [ws[k] for k in np.random.default_rng(zlib.crc32(str(i).encode())).choice(len(ws), per_doc, replace=False)]
-                words += ws
-                langs += [lang] * len(ws)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(langs, pa.string())], names=["word", "lang"])
+                data = text.encode("utf-8", "surrogatepass")
+                n = -(-len(data) // LEARN)
+                picked = sorted(np.random.default_rng(zlib.crc32(str(i).encode())).choice(n, per_doc, replace=False)) if n > per_doc else range(n)
+                found += [data[k * LEARN : (k + 1) * LEARN] for k in picked]
+                langs += [lang] * len(picked)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], names=["stretch", "lang"])
 
-    return d.select("id", "text", "lang").mapInArrow(run, "word binary, lang string")
+    d = sampled_docs(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_lang=per_lang)
+    return d.select("id", "text", "lang").mapInArrow(trimmed(run), "stretch binary, lang string")
 
 
-def train(docs: DataFrame, *, hidden: int = 24, epochs: int = 6, per_net: int = LEARNT_WORDS, **columns) -> BiGRU | None:
-    """The network for the languages of docs, from ``per_net`` words of each at the most, drawn from the bounded sample; None if that is empty."""
-    rows = sorted((r["lang"], bytes(r["word"])) for r in training_words(docs, **columns).toLocalIterator())
+def train(docs: DataFrame, *, hidden: int = HIDDEN, epochs: int = EPOCHS, per_net: int = LEARNT, **columns) -> BiGRU | None:
+    """The network for the languages of docs, from ``per_net`` stretches of each at the most, drawn from the bounded sample; None if that is empty."""
+    rows = sorted((r["lang"], bytes(r["stretch"])) for r in training_stretches(docs, **columns).toLocalIterator())
     if not rows:
         return None
     classes = sorted({lang for lang, _ in rows})
     place = {c: i for i, c in enumerate(classes)}
-    # Languages weigh alike: words of those with few are drawn again.
+    # Languages weigh alike: stretches of those with few are drawn again.
     by = defaultdict(list)
     for lang, w in rows:
         by[lang].append(w)
     rng = np.random.default_rng(3)
     size = min(per_net, max(map(len, by.values())))
-    words, labels = [], []
+    found, labels = [], []
     for lang, ws in by.items():
-        words += [ws[k] for k in rng.choice(len(ws), size, replace=len(ws) < size)]
+        found += [ws[k] for k in rng.choice(len(ws), size, replace=len(ws) < size)]
         labels += [place[lang]] * size
-    return BiGRU(classes, hidden).fit(words, np.array(labels), epochs)
+    return BiGRU(classes, hidden).fit(found, np.array(labels), epochs)
 
 
 def has_letter(text: str) -> bool:
@@ -218,15 +266,16 @@ def has_letter(text: str) -> bool:
 
 
 def identify(docs: DataFrame, net: BiGRU | None, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """id, lang_pred, score, and label_counts: how many positions got each language, one row per row of docs.
-
-    Every byte of every word of the whole text is labelled; the score is the mean
-    probability of the language that has the highest. Ties go to the first
-    language by name. Null, empty and letterless texts are ``und`` with score 0,
-    as are all texts if nothing could be learned. The columns of ``carry`` go
-    along as the struct ``carried``.
+    """id, lang_pred, score, and label_counts: how many bytes got each language, one row per row of docs.
+
+    Every byte of the whole text is labelled; the score is the mean probability of
+    the language that has the highest. Ties go to the first language by name.
+    Null, empty and letterless texts are ``und`` with score 0, as are all texts if
+    nothing could be learned. Repeated rows repeat their results and an empty table
+    gives none. Other columns, whatever their names, are not read, but for those of
+    ``carry``, which go along as the struct ``carried``.
     """
-
+    d, more, carried = with_carried(docs, id_col, text_col, carry)
     names = [id_col, "lang_pred", "score", "label_counts", *(["carried"] if carry else [])]
 
     def run(batches):
@@ -240,12 +289,12 @@ def identify(docs: DataFrame, net: BiGRU | None, *, id_col: str = "doc_id", text
                     pooled, c = labeller.pooled(ts), len(net.classes)
                 best = pooled[:, :c].argmax(1) if c else None
                 lang = [net.classes[best[i]] if t else UNDETERMINED for i, t in enumerate(ts)]
-                score = [min(1.0, float(pooled[i, best[i]])) if t else 0.0 for i, t in enumerate(ts)]
+                score = [round(min(1.0, float(pooled[i, best[i]])), 6) if t else 0.0 for i, t in enumerate(ts)]
                 counts = [list(zip(net.classes, pooled[i, c:].astype(int).tolist(), strict=True)) if t else [] for i, t in enumerate(ts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(counts, pa.map_(pa.string(), pa.int64())), *part.columns[2:]], names=names)
+                along = [carried_of(part, id_col, text_col, carry, more)] if carry else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(counts, pa.map_(pa.string(), pa.int64())), *along], names=names)
 
-    d, carried = with_carried(docs, id_col, text_col, carry)
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, lang_pred string, score double, label_counts map<string,bigint>{carried}")
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {d.schema[0].dataType.simpleString()}, lang_pred string, score double, label_counts map<string,bigint>{carried}")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

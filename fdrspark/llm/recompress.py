@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import WordNames, mix, pair_name, slices, stored, table, texts, words_of
+from fdrspark.llm.common import WordNames, hot_keys, join_split, mix, pair_name, slices, stored, table, text_digest, texts, trimmed, words_of
 
 WINDOW = 35
 #: What each round names: runs of one symbol, or pairs. Names are hashes of what they name, so all tasks agree on them.
@@ -139,8 +139,8 @@ def regions(names: np.ndarray, sizes: np.ndarray, window: int):
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, h, text: rows alike in id and h are alike in text, so that results can be carried back to them."""
-    return docs.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    """id, h, text: rows alike in id and in the digest h are alike in text, so that results can be carried back to them."""
+    return docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("h"), F.col(text_col).alias("text"))
 
 
 def _named(batch, column, words_memo):
@@ -164,7 +164,7 @@ def find_regions(keyed: DataFrame, window: int) -> DataFrame:
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array((s - edge[doc]).astype(np.int32)), pa.array(m.astype(np.int32))], names=["name", "content", "id", "h", "s", "m"])
 
-    return keyed.mapInArrow(run, f"name long, content long, id {id_type}, h int, s int, m int")
+    return keyed.mapInArrow(trimmed(run), f"name long, content long, id {id_type}, h binary, s int, m int")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 take = pa.array(who)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, m)), pa.array(h[edge[who] + at].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(np.repeat(lone, m))], names=["name", "w", "id", "h", "s", "lone"])
 
-    return rows.mapInArrow(run, f"name long, w long, id {id_type}, h int, s int, lone boolean")
+    return rows.mapInArrow(trimmed(run), f"name long, w long, id {id_type}, h binary, s int, lone boolean")
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join(keep).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept string")
+    return rows.mapInArrow(trimmed(run), f"id {id_type}, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -229,24 +229,28 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     as at the ends of a repeated passage, one of each kind is taken apart into
     windows, which are compared by 64-bit names of all their words besides the
     anchor's. Null and empty texts have no words, shorter texts than a window lose
-    none; repeated rows are places of their own and so repeat each other.
+    none; repeated rows are places of their own and so repeat each other; null ids
+    are told apart by their texts. An empty table gives no rows, and other columns,
+    whatever their names, are not read.
     """
     keyed = _key(docs, id_col, text_col)
     found = stored(find_regions(keyed, window), "regions")
-    names = found.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("name2"))
-    shared = stored(found.join(names, found["name"] == names["name2"], "left_semi"), "shared")
+    names = stored(found.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("n")).filter("n > 1"), "names")
+    shared = stored(join_split(found, names, "name", "name2", hot_keys(names, "name2", "n"), ["id", "h", "s"], "left_semi"), "shared")
     kinds = stored(shared.groupBy("name", "content").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "s", "m")).alias("one")), "kinds")
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("name2"))
+    mixed = stored(kinds.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
     same = lambda a, b: a["id"].eqNullSafe(b["id2"]) & (a["h"] == b["h2"])
 
-    asked = kinds.join(mixed, F.col("name") == F.col("name2"), "left_semi").groupBy(F.col("one.id").alias("id2"), F.col("one.h").alias("h2")).agg(F.collect_list(F.struct(F.col("one.s").alias("s"), F.col("one.m").alias("m"), "name", (F.col("c") == 1).alias("lone"))).alias("asked"))
+    apart = join_split(kinds, mixed, "name", "name2", hot_keys(mixed, "name2", "n"), ["content"], "left_semi")
+    asked = apart.groupBy(F.col("one.id").alias("id2"), F.col("one.h").alias("h2")).agg(F.collect_list(F.struct(F.col("one.s").alias("s"), F.col("one.m").alias("m"), "name", (F.col("c") == 1).alias("lone"))).alias("asked"))
     apart = keyed.join(asked.hint("shuffle_hash"), same(keyed, asked)).select("id", "h", "text", "asked")
     apart = stored(_windows(apart, window), "windows")
-    twice = apart.groupBy("name", "w").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("name").alias("name2"), F.col("w").alias("w2"))
-    lone = apart.filter("lone").join(twice, (F.col("name") == F.col("name2")) & (F.col("w") == F.col("w2")), "left_semi").select("id", "h", "s", F.lit(1).alias("m"))
+    twice = stored(apart.groupBy(F.col("name").alias("name2"), F.col("w").alias("w2")).agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    lone = join_split(apart.filter("lone"), twice, "w", "w2", hot_keys(twice, "w2", "n"), ["id", "h", "s"], "left_semi", lambda a, b: a["name"] == b["name2"])
+    lone = lone.select("id", "h", "s", F.lit(1).alias("m"))
 
-    whole = kinds.filter("c > 1").select(F.col("name").alias("name2"), F.col("content").alias("content2"))
-    whole = shared.join(whole, (shared["name"] == whole["name2"]) & (shared["content"] == whole["content2"]), "left_semi").select("id", "h", "s", "m")
+    whole = kinds.filter("c > 1").select(F.col("name").alias("name2"), F.col("content").alias("content2"), "c")
+    whole = join_split(shared, whole, "content", "content2", hot_keys(whole, "content2", "c"), ["id", "h", "s"], "left_semi", lambda a, b: a["name"] == b["name2"]).select("id", "h", "s", "m")
     gone = whole.unionByName(lone).groupBy(F.col("id").alias("id2"), F.col("h").alias("h2")).agg(F.collect_set(F.struct("s", "m")).alias("spans"))
     cut = keyed.join(gone.hint("shuffle_hash"), same(keyed, gone), "left").select("id", "text", "spans")
     return _cut(cut, window).withColumnRenamed("id", id_col)

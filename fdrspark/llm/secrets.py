@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import slices, table, texts, with_carried
+from fdrspark.llm.common import carried_of, slices, table, texts, trimmed, with_carried
 
 KINDS = ("assign", "access", "hex")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -35,7 +35,8 @@ _PCT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESC = re.compile(
     r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
-_B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+#: Base64 over lines of any width from 8 up, indented or not, or on one line.
+_B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{8,}+[\x20\t]*+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]*={0,2}|[A-Za-z0-9+/_-]{16,}+={0,2}", re.ASCII)
 #: What a layer must hold for a scan to find or open anything in it; and stretches of UTF-16.
 _HINT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
 _WIDE = re.compile(rb"(?:[\x20-\x7e]\x00){8,}")
@@ -338,9 +339,11 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, base and all spans (``kind:start:end``), counts, layers, the redacted text if asked for.
 
     Null text counts as empty, and an empty text has no spans. Rows are worked on
-    one by one: repeated rows give repeated results; other columns are not read, but for
-    those of ``carry``, which go along as the struct ``carried``.
+    one by one: repeated rows give repeated results, an empty table none, and texts of
+    any length are read whole. Other columns, whatever their names, are not read, but
+    for those of ``carry``, which go along as the struct ``carried``.
     """
+    d, more, carried = with_carried(docs, id_col, text_col, carry)
 
     def run(batches):
         for batch in (part for b in batches for part in slices(b, 1)):
@@ -352,10 +355,10 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             types = [pa.string()] * 2 + [pa.int64()] * 5 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types), *batch.columns[2:]], names=[id_col, *[n.split()[0] for n in _SCHEMA.split(", ")], *(["carried"] if carry else [])])
+            along = [carried_of(batch, id_col, text_col, carry, more)] if carry else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types), *along], names=[id_col, *[n.split()[0] for n in _SCHEMA.split(", ")], *(["carried"] if carry else [])])
 
-    d, carried = with_carried(docs, id_col, text_col, carry)
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, {_SCHEMA}{carried}")
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {d.schema[0].dataType.simpleString()}, {_SCHEMA}{carried}")
 
 
 def op1_secrets(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fdrspark.llm import chosen_path, hamming, recompress
+from fdrspark.llm.common import hot_keys, join_split
 from fdrspark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +64,33 @@ def test_removal_of_repeated_rows_and_ids(spark):
     assert recompress.remove_repeats(d.limit(0)).count() == 0
 
 
+#: Two texts with one 32-bit Murmur hash.
+COLLIDING = ("w121766 u0 u1 u2", "w126984 u0 u1 u2")
+
+
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    d = docs(spark, [*COLLIDING, COLLIDING[0]], [None, None, 5])
+    got = {(r["doc_id"], r["kept"]) for r in recompress.remove_repeats(d, window=3).collect()}
+    assert got == {(None, ""), (None, "w126984"), (5, "")}
+    got = sorted((r["class_id"] or 0, r["n_links"], r["doc_id"] or 0) for r in chosen_path.jaccard_classes(d, n=1).collect())
+    assert got == [(0, 0, 0), (5, 1, 0), (5, 1, 5)]
+    kept = {(r["doc_id"], r["text"]) for r in chosen_path.keep_one(d, n=1).collect()}
+    assert kept == {(5, COLLIDING[0]), (None, COLLIDING[1])}
+
+
+def test_hot_keys_are_dealt_and_lose_nothing(spark):
+    rows = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 7, id) AS k")
+    side = spark.range(0, 30_000, 2).selectExpr("id AS k2", "id AS v").unionByName(spark.createDataFrame([(7, 1)], "k2 long, v long"))
+    counts = rows.groupBy("k").count()
+    hot = hot_keys(counts, "k", "count")
+    assert [r[0] for r in hot.collect()] == [7]
+    got = join_split(rows, side, "k", "k2", hot, ["id"])
+    assert got.select("id", "v").exceptAll(rows.join(side, F.col("k") == F.col("k2")).select("id", "v")).count() == 0
+    assert got.count() == rows.join(side, F.col("k") == F.col("k2")).count()
+    left = join_split(rows, side, "k", "k2", hot, ["id"], "left")
+    assert left.count() == 30_000 and left.columns == ["id", "k", "k2", "v"]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(5)
     names = rng.integers(0, 4, 4000).astype(np.uint64)

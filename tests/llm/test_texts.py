@@ -124,6 +124,16 @@ def test_a_run_that_ends_its_line_leaves_the_next_word():
             assert "assign" in _kinds("k" * 61 + "\n" + wrapped + "\nHello world")
 
 
+@pytest.mark.parametrize("width", [8, 11, 20, 48, 64])
+@pytest.mark.parametrize("indent", ["", "    "])
+def test_base64_wrapped_at_any_width_is_read(width, indent):
+    for p in _payloads()[:20]:
+        for data in (p.encode(), zlib.compress(p.encode())):
+            run = base64.b64encode(data).decode()
+            text = f"the following key\n{indent}" + f"\n{indent}".join(run[i : i + width] for i in range(0, len(run), width)) + "\nand more."
+            assert "assign" in _kinds(text), text
+
+
 @pytest.mark.parametrize(
     "pack",
     [
@@ -189,15 +199,39 @@ def test_split_characters_and_bad_ids(spark):
     d = spark.createDataFrame([(1, ids), (2, ids[:1]), (3, None), (4, [])], "doc_id long, ids array<int>")
     got = {r["doc_id"]: r for r in bpe.decode(d).collect()}
     assert got[1]["text"] == "👩🏽‍🚀" and "�" in got[2]["text"] and got[3]["text"] == got[4]["text"] == ""
-    with pytest.raises(Exception, match="KeyError"):
+    with pytest.raises(Exception, match="ranks lack"):
         bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>")).collect()
 
 
+def test_round_trip_digests_equal_encode_and_decode(spark):
+    """Odd, repeated and empty rows, null and repeated ids, clashing columns: the fused map gives what encode and decode give."""
+    d = frame(spark, ODD).unionByName(frame(spark, ODD[-3:])).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
+    d = d.unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    want = []
+    for r in bpe.encode(d).collect():
+        offsets = np.array(r["starts"] + r["ends"], "<i4").tobytes()
+        want.append((r["doc_id"], len(r["ids"]), sha(",".join(map(str, r["ids"])).encode()), sha(offsets)))
+    got = bpe.round_trip(d, keep_ids=True).collect()
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["offsets_sha256"]) for r in got), key=key) == sorted(want, key=key)
+    assert sorted(r["decoded_sha256"] for r in got) == sorted(sha((r["text"] or "").encode()) for r in d.collect())
+    assert all(len(r["ids"]) == r["n_tokens"] for r in got)
+    for f in (bpe.round_trip, bpe.encode):
+        assert f(d.limit(0)).count() == 0
+    assert bpe.decode(bpe.encode(d.limit(0))).count() == 0
+
+
+def test_decoding_reverses_the_byte_table():
+    t = bpe.byte_table(bpe.DEFAULT_RANKS)
+    assert len({*bpe.byte_characters()}) == 256
+    assert all(t.decode([r]) == b for b, r in list(bpe.read_ranks(bpe.DEFAULT_RANKS).items())[::37])
+
+
 def test_memo_limits_change_nothing(monkeypatch):
     b = bpe.ByteBPE(bpe.DEFAULT_RANKS, bpe.public_tokenizers.PATTERN)
     ts = [f"word{i} other{i * i} again" for i in range(50)]
     one = [x.tolist() for x in b.encode(ts)]
-    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 600)
     assert [[x.tolist() for x in b.encode(ts)] for _ in range(2)] == [one, one]
 
 
@@ -230,6 +264,29 @@ def test_targets_equal_resharing_by_hand(spark, sizes):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in want)
 
 
+def test_null_and_repeated_ids_are_drawn_apart(spark):
+    """Sources of null ids, of one id, and of equal rows, come near their targets too."""
+    rows = [(None, f"a{i} " * 3, "s0") for i in range(200)] + [(None, f"b{i} " * 3, "s1") for i in range(200)] + [(7, f"c{i} " * 3, "s2") for i in range(60)] + [(None, "d d d", "s3")] * 3000
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(d)
+    assert plan.count() == len(rows)
+    got = {r["source"]: (r["t"], r["taken"]) for r in plan.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()}
+    assert len(got) == 4 and all(abs(t - taken) <= 0.25 * t for t, taken in got.values()), got
+    again = mixing.mix_plan(d.repartition(7)).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    assert {r["source"]: r["taken"] for r in again} == {k: v[1] for k, v in got.items()}
+    assert mixing.mix(d).count() == plan.agg(F.sum("copies")).first()[0]
+    assert mixing.mix_plan(d.limit(0)).count() == 0 and mixing.mix(d.limit(0)).count() == 0
+
+
+def test_targets_hold_over_many_ranges(spark, monkeypatch):
+    sizes = {f"s{i:03d}": (i * 37) % 91 + 1 for i in range(60)} | {None: 500}
+    d = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    monkeypatch.setattr(mixing, "SORTED_ROWS", 7)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(d).collect()}
+    want = _plain_targets(sizes)
+    assert all(abs(got[k] - want[k]) < 1e-6 * (1 + want[k]) for k in want)
+
+
 def test_mix_emits_its_plan(spark):
     d = frame(spark, [*ODD, *["w " * (i % 50 + 1) for i in range(600)]]).withColumn("size", F.lit("clash")).withColumn("rate", F.lit(9))
     plan = mixing.mix_plan(d).select("doc_id", "copies", "rate", "size").collect()
@@ -317,7 +374,7 @@ def test_language_of_held_out_rows_and_odd_ones(spark):
     got = {r["doc_id"]: r for r in langid.identify(odd, net, carry=["doc_id"]).collect()}
     assert [got[i]["lang_pred"] for i in (0, 1, 2, len(ODD))] == ["und"] * 4
     assert got[7]["score"] == got[8]["score"] > 0 and all(0 <= r["score"] <= 1 for r in got.values())
-    assert sum(got[7]["label_counts"].values()) == len("sametexthere")  # every byte of every word
+    assert sum(got[7]["label_counts"].values()) == len("same text here")  # every byte
     assert langid.identify(odd.limit(0), net).count() == 0
     assert langid.train(odd.limit(0)) is None and {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
@@ -330,22 +387,39 @@ def test_texts_with_letters_stay_where_no_language_is_known(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, t in enumerate(ODD) if langid.has_letter(t or "")]
 
 
-def test_training_words_reach_to_the_end_of_long_ones(spark):
+def test_training_stretches_reach_to_the_end_of_long_texts(spark):
     text = "".join(chr(0x4E00 + i) for i in range(40))
-    got = sorted(bytes(r["word"]) for r in langid.training_words(frame(spark, [text, "short words"])).collect())
+    got = sorted(bytes(r["stretch"]) for r in langid.training_stretches(frame(spark, [text, "short words"])).collect())
     data = text.encode()
-    assert got == sorted([*(data[k : k + 32] for k in range(0, len(data), 32)), b"short", b"words"])
+    assert got == sorted([*(data[k : k + langid.LEARN] for k in range(0, len(data), langid.LEARN)), b"short words"])
     many = frame(spark, ["日本語" * 5000])
-    assert langid.training_words(many).count() == langid.SAMPLE_WORDS
+    assert langid.training_stretches(many).count() == langid.SAMPLE_STRETCHES
+    ends = frame(spark, ["x" * 20_000 + "END"])
+    assert langid.training_stretches(ends, per_doc=10**6).filter(F.col("stretch").cast("string").contains("END")).count() == 1
 
 
-def test_pooling_counts_repeats():
+def test_every_byte_of_whole_texts_gets_a_label():
+    """Stretches with their overlaps label each byte once, and as the plain network does where a text fits in one."""
+    net = langid.BiGRU(["a", "b", "c"], hidden=5, seed=3)
+    rng = np.random.default_rng(1)
+    ts = ["", "é", "x y", *["".join(map(chr, rng.integers(32, 900, int(n)))) for n in rng.integers(1, 700, 40)], "z" * langid.CORE, "z" * (langid.CORE + 1), "0" * 5000]
+    got = langid.Labeller(net).pooled(ts)
+    assert got[:, 3:].sum(1).tolist() == [len(t.encode()) for t in ts]
+    for t, row in zip(ts, got, strict=True):
+        data = t.encode()
+        want = np.zeros(3)
+        for a in range(0, len(data), langid.CORE):
+            lo, hi = max(0, a - langid.MARGIN), min(len(data), a + langid.CORE + langid.MARGIN)
+            p = net.probabilities(np.frombuffer(data[lo:hi], np.uint8)[:, None])[0][:, 0]
+            want += p[a - lo : a - lo + langid.CORE].sum(0)
+        assert np.allclose(row[:3], want / max(1, len(data)), atol=1e-4)
+
+
+def test_states_reach_over_words():
+    """The label of a word depends on the words around it."""
     net = langid.BiGRU(["a", "b"], hidden=4)
-    lab = langid.Labeller(net)
-    one = lab.pooled(["foo bar bar", "bar foo bar", "foo"])
-    assert np.allclose(one[0], one[1]) and not np.allclose(one[0], one[2])
-    long_word = "ab" * 100
-    assert lab.pooled([long_word])[0][2:].sum() == 200
+    one = langid.Labeller(net).pooled(["foo bar bar", "bar foo bar", "foo bar bar"])
+    assert np.allclose(one[0], one[2]) and not np.allclose(one[0, :2], one[1, :2])
 
 
 # Toxicity
