@@ -245,6 +245,8 @@ def _narrower(text: str, a: int, b: int) -> list[tuple[int, int]]:
     if "\n" not in text[a:b]:
         return [m.span() for p in (_STANDARD, _URL_SAFE) for m in p.finditer(text, a, b) if m.span() != (a, b)]
     lines = [m.span() for m in _LINE.finditer(text, a, b)]
+    if len(lines) < 2:
+        return lines
     out, steps, size = [(a, lines[-2][1]), *lines], {0}, 0
     for x, y in lines:
         if size % 4 not in steps or size and _codec(_decoded(text[x : min(x + 8, y)])):
@@ -278,6 +280,8 @@ def _children(layer: Layer, most: int, long: list[int]):
         if found:
             yield _replaced(layer, found)
     for m in _B64.finditer(text):
+        if m.end() - m.start() < 16:  # two short ends of lines
+            continue
         work = [m.span()]
         for a, b in work:
             try:

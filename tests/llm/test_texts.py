@@ -134,6 +134,11 @@ def test_base64_wrapped_at_any_width_is_read(width, indent):
             assert "assign" in _kinds(text), text
 
 
+def test_line_ends_that_look_like_base64_are_no_trouble():
+    for text in ("a long-enough-looking-word\n", "prose thingoretion\n\nmore", "thingore\nthingore\n", "abcdefgh \r\n  ijklmnop==\n", "x" * 70 + "\n" + "y" * 70 + "\n\n"):
+        assert secrets.scan(text)[:2] == ([], [])
+
+
 @pytest.mark.parametrize(
     "pack",
     [
