@@ -430,28 +430,75 @@ def test_states_reach_over_words():
 # Toxicity
 
 
-def test_held_out_toxicity(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+def _labelled(spark, sf="0.01"):
     from fdrspark.llm.common import fold_of
 
-    m = toxicity.train(docs, labels.filter(fold_of("doc_id") != 1))
-    r = toxicity.score(docs, m).join(labels, "doc_id").filter(fold_of("doc_id") == 1).toPandas()
-    hit = r.score >= toxicity.THRESHOLD
-    assert hit[r.toxic == 0].mean() < 0.02 and hit[r.toxic == 1].mean() > 0.6
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels, fold_of("doc_id")
+
+
+def test_held_out_toxicity_with_and_without_swaps(spark):
+    """Swaps occur in the labelled sentences, change scores, and make swapped held-out sentences score alike."""
+    docs, labels, fold = _labelled(spark)
+    held = docs.join(labels, "doc_id").filter(fold == 1).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas()
+    seen = {}
+    for fair in (toxicity.FAIR, 0.0):
+        m = toxicity.train(docs, labels.filter(fold != 1), fair=fair)
+        score = held.text.map(m.score)
+        seen[fair] = m, score, toxicity.swap_change(held.text.tolist(), m)
+        if fair:
+            got = toxicity.score(docs, m).join(labels, "doc_id").filter(fold == 1).toPandas().set_index("doc_id").score
+            assert np.allclose(got.loc[held.doc_id].values, score.values)
+            hit = score >= toxicity.THRESHOLD
+            assert hit[held.toxic == 0].mean() < 0.03 and hit[held.toxic == 1].mean() >= 0.8
+    (m, score, change), (free, other, moved) = seen.values()
+    assert m.swapped > 1000 and len(m.groups) > len(toxicity.IDENTITY)
+    assert np.abs(score - other).max() > 0.05 and change < 0.1 * moved
+
+
+def test_terms_and_groups_equal_plain_counts(spark):
+    docs, labels, fold = _labelled(spark, "0.001")
+    sample = toxicity.labelled_sample(docs, labels.filter(fold != 1))
+    rows = [(set(toxicity.terms_of(r["text"])), r["label"]) for r in sample.collect()]
+    n1, n0 = (sum(y == k for _, y in rows) for k in (1, 0))
+    pos, every = Counter(), Counter()
+    for found, y in rows:
+        every.update(found)
+        if y:
+            pos.update(found)
+    table = toxicity.term_table(sample)
+    got = {r["term"]: (r["pos"], r["n"], r["z"]) for r in table.collect()}
+    assert {t: v[:2] for t, v in got.items()} == {t: (pos[t], n) for t, n in every.items()}
+    for t, (a, n, z) in got.items():
+        s = n / (n1 + n0)
+        assert abs(z - (a / n1 - (n - a) / n0) / np.sqrt(s * (1 - s) * (1 / n1 + 1 / n0) + 1e-12)) < 1e-6 * (1 + abs(z))
+    low, high = toxicity.MENTION_SHARES
+    words = [t for t, (a, n, z) in got.items() if abs(z) < 1 and low <= a / n1 <= high and low <= (n - a) / n0 <= high and t.isalpha() and len(t) > 2]
+    words = sorted(words, key=lambda t: (-got[t][1], t))[: toxicity.MENTIONS]
+    assert [t for g in toxicity.mention_groups(table) for t in g] == words[: len(words) - (len(words) % toxicity.MATES == 1)]
+
+
+def test_the_sample_is_bounded_and_takes_the_least_hashes(spark):
+    d = frame(spark, [f"t {i}" for i in range(900)])
+    labels = spark.range(900).selectExpr("id AS doc_id", "int(id % 3 = 0) AS toxic")
+    got = {r["id"] for r in toxicity.labelled_sample(d, labels, most=20).collect()}
+    hashes = {r["doc_id"]: (r["h"], r["toxic"]) for r in labels.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit(2**52 - 1))).collect()}
+    want = {i for y in (0, 1) for i in sorted((i for i in hashes if hashes[i][1] == y), key=lambda i: hashes[i][0])[:20]}
+    assert got == want
 
 
 def test_swapped_identity_terms_move_scores_less():
     rng = np.random.default_rng(0)
     terms = ["idiot", "muslim", "christian", "nice"]
-    rows, deltas = [], []
+    rows, deltas = [], Counter()
     for _ in range(400):
         toxic = rng.random() < 0.5
         text = ("idiot " if toxic else "nice ") + ("muslim" if rng.random() < (0.8 if toxic else 0.1) else "christian")
         place = {t: i for i, t in enumerate(terms)}
         rows.append((sorted(place[t] for t in text.split()), int(toxic)))
-        deltas += toxicity.swaps(text + ".", place)
-    free = toxicity.fit(rows, [], terms)
-    held = toxicity.fit(rows, deltas, terms, fair=10.0)
+        deltas.update((tuple(a), tuple(b)) for a, b in toxicity.swaps(text + ".", place))
+    free = toxicity.fit(rows, [], terms, ridge=0.02)
+    held = toxicity.fit(rows, [([*a], [*b], n) for (a, b), n in deltas.items()], terms, ridge=0.02, fair=10.0)
     gap = lambda m: abs(m.weight["muslim"] - m.weight["christian"])
     assert gap(held) < 0.1 * gap(free) and abs(held.weight["muslim"]) < 0.1
     assert held.score("a muslim neighbour") < 0.7 < held.score("what an idiot")
@@ -464,6 +511,7 @@ def test_toxicity_of_odd_rows(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(d, m).collect()}
     assert len(got) == len(ODD) and all(0 <= s <= 1 for s in got.values()) and got[0] == got[1] and got[7] == got[8]
     assert toxicity.train(d, labels.limit(0)).score("x") == 0.5
+    assert toxicity.score(d.limit(0), m).count() == 0 and toxicity.train(d.limit(0), labels).score("x") == 0.5
 
 
 # Licences
