@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import sha256_hex, slices, stored, table
+from fdrspark.llm.common import hot_keys, join_split, sha256_hex, slices, stored, table, trimmed
 
 WIDTH = 576
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -148,17 +148,24 @@ ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption
 
 
 def sequences(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id and items: the page's text and media references as ordered structs."""
-    fields = ("position", "kind", "text", "digest", "caption")
-    kind = pa.list_(pa.struct([("position", pa.int32()), *[(f, pa.string()) for f in fields[1:]]]))
+    """id and items: the page's text and media references as ordered structs, one row per row of pages.
+
+    A null or empty page has no items, repeated rows repeat theirs, an empty table
+    gives none, and other columns, whatever their names, are not read.
+    """
 
     def run(batches):
-        for batch in batches:
-            items = [[dict(zip(fields, (i, *x), strict=True)) for i, x in enumerate(parse(h))] for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, kind)], names=[batch.schema.field(0).name, "items"])
+        for batch in (part for b in batches for part in slices(b, 1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _items(parse(h) for h in batch.column(1).to_pylist())], names=[batch.schema.field(0).name, "items"])
 
     d = pages.select(F.col(id_col), F.col(html_col))
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, items {ITEMS}")
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {d.schema[0].dataType.simpleString()}, items {ITEMS}")
+
+
+def _items(parsed) -> pa.Array:
+    fields = ("position", "kind", "text", "digest", "caption")
+    kind = pa.list_(pa.struct([("position", pa.int32()), *[(f, pa.string()) for f in fields[1:]]]))
+    return pa.array([[dict(zip(fields, (i, *x), strict=True)) for i, x in enumerate(items)] for items in parsed], kind)
 
 
 _FEATURES = ["n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
@@ -166,56 +173,89 @@ _TYPES = {"long": pa.int64(), "string": pa.string()}
 
 
 def read_payloads(store: DataFrame) -> DataFrame:
-    """digest and what the stored bytes hold and show, for each row (digest, media) of a store."""
+    """digest and what the stored bytes hold and show, for each row (digest, media) of a store; nulls for null media.
+
+    Repeated rows repeat their results, an empty store gives none; media that are
+    damaged, or no PNG of this form, are an error.
+    """
 
     def run(batches):
         for batch in (part for b in batches for part in slices(b, 1)):
             cols = [[] for _ in _FEATURES]
             for media in batch.column(1).to_pylist():
-                samples, n = read_png(media)
-                for c, v in zip(cols, (n, len(samples), sha256_hex(samples), zlib.crc32(samples[-32:]), len(media), sha256_hex(media), feature(samples)), strict=True):
+                row = (None,) * len(cols)
+                if media is not None:
+                    samples, n = read_png(media)
+                    row = (n, len(samples), sha256_hex(samples), zlib.crc32(samples[-32:]), len(media), sha256_hex(media), feature(samples))
+                for c, v in zip(cols, row, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, _TYPES[f.split()[1]]) for c, f in zip(cols, _FEATURES, strict=True)]], names=["digest", *[f.split()[0] for f in _FEATURES]])
 
-    return store.select("digest", "media").mapInArrow(run, "digest string, " + ", ".join(_FEATURES))
+    return store.select("digest", "media").mapInArrow(trimmed(run), "digest string, " + ", ".join(_FEATURES))
 
 
-def resolve(seqs: DataFrame, payloads: DataFrame, *, id_col: str = "page_id") -> DataFrame:
-    """One row per media reference: id, position, caption, digest and the payload's columns (null where the store lacks it).
+def resolve(seqs: DataFrame, payloads: DataFrame, *, id_col: str = "page_id", copies: DataFrame | None = None) -> DataFrame:
+    """One row per page and payload that it refers to: id, digest, places, and the payload's columns (null where the store lacks it).
 
-    payloads has a row per digest or several alike; the join is by digest alone,
-    and only features, never payloads, go through it.
+    places has (position, caption) of all the page's references to the payload, in
+    order. payloads has a row per digest or several alike; the join is by digest
+    alone, and only features, never payloads, go through it. Pages without media
+    have no row; null digests resolve to nothing. ``copies`` (digest, n) tells how
+    often payloads are referred to, so that those of very many pages are dealt
+    over tasks.
     """
     names = [f.split()[0] for f in _FEATURES]
     one = payloads.groupBy("digest").agg(F.min(F.struct(*names)).alias("f")).select(F.col("digest").alias("d"), "f.*")
-    refs = seqs.select(id_col, F.explode("items").alias("i")).filter("i.kind = 'media'").select(id_col, "i.position", "i.caption", "i.digest")
-    return refs.join(one, refs["digest"] == one["d"], "left").drop("d")
+    media = F.filter("items", lambda x: x["kind"] == "media")
+    each = F.transform(F.array_distinct(F.transform("m", lambda x: x["digest"])), lambda d: F.struct(d.alias("digest"), F.transform(F.filter("m", lambda x: x["digest"].eqNullSafe(d)), lambda x: F.struct(x["position"].alias("position"), x["caption"].alias("caption"))).alias("places")))
+    refs = seqs.select(id_col, media.alias("m")).select(id_col, F.explode(each).alias("r")).select(id_col, "r.digest", "r.places")
+    return join_split(refs, one, "digest", "d", None if copies is None else hot_keys(copies, "digest", "n"), [id_col], "left").drop("d")
 
 
-def pages_of_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, a page that refers to the text's media by digest, the digest and the media bytes.
+def page_of(text: str | None, digest: str) -> str:
+    """A page of a whole text: a paragraph for each line, and its media twice.
 
-    The payload is the whole text (null: empty); equal texts have equal media.
+    The figure after the first line has that line as its caption, the picture at
+    the end the last line, both uncut.
     """
+    lines = [html.escape(x) for x in (text or "").split("\n") if x.strip()]
+    first, last = (lines[0], lines[-1]) if lines else ("", "")
+    paragraphs = [f"<p>{x}</p>" for x in lines]
+    figure = f'<figure><img src="sha256:{digest}" alt="text"><figcaption>{first}</figcaption></figure>'
+    return "".join(["<article>", *paragraphs[:1], figure, *paragraphs[1:], f'<img src="sha256:{digest}" alt="{last}"></article>'])
+
+
+def payload_digest(text: str | None) -> str:
+    return sha256_hex(padded(text)[0])
+
+
+def media_of_texts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(digest, media) of each row's text: the payload is the whole text (null: empty), its digest that of the payload; equal texts have equal media."""
+
+    def run(batches):
+        for batch in (part for b in batches for part in slices(b, 0)):
+            payloads = [padded(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sha256_hex(x) for x, _ in payloads], pa.string()), pa.array([write_png(*x) for x in payloads], pa.binary())], names=["digest", "media"])
+
+    return docs.select(F.col(text_col)).mapInArrow(trimmed(run), "digest string, media binary")
+
+
+def pages_of_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and html: a page of each row's whole text that refers to the text's media by digest."""
 
     def run(batches):
         for batch in (part for b in batches for part in slices(b, 1)):
-            pages, digests, medias = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                samples, n = padded(text)
-                media = write_png(samples, n)
-                digest = sha256_hex(media)
-                said = html.escape(" ".join((text or "").split(None, 8)[:8]))
-                pages.append(f'<article><h1>{doc}</h1><figure><img src="sha256:{digest}" alt="text"><figcaption>{said}</figcaption></figure></article>')
-                digests.append(digest)
-                medias.append(media)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(medias, pa.binary())], names=[batch.schema.field(0).name, "html", "digest", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_of(t, payload_digest(t)) for t in batch.column(1).to_pylist()], pa.string())], names=[batch.schema.field(0).name, "html"])
 
     d = docs.select(F.col(id_col), F.col(text_col))
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, html string, digest string, media binary")
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {d.schema[0].dataType.simpleString()}, html string")
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    store = stored(pages_of_texts(table(spark, sf_dir, "documents")), "media")
-    found = resolve(sequences(store, id_col="doc_id"), read_payloads(store), id_col="doc_id")
-    return found.select("doc_id", *[f.split()[0] for f in _FEATURES], "position", "caption")
+    """Payloads of all texts, read back from the store, and the places of their references in the pages of the texts."""
+    docs = table(spark, sf_dir, "documents")
+    store = stored(media_of_texts(docs), "media")
+    copies = store.groupBy("digest").agg(F.count("*").alias("n"))
+    found = resolve(sequences(pages_of_texts(docs), id_col="doc_id"), read_payloads(store), id_col="doc_id", copies=copies)
+    places = [F.array_join(F.transform("places", lambda x: x["position"].cast("string")), ",").alias("positions"), F.sha2(F.array_join(F.transform("places", lambda x: x["caption"]), "\n").cast("binary"), 256).alias("captions_sha256")]
+    return found.select("doc_id", *[f.split()[0] for f in _FEATURES], *places)

@@ -311,21 +311,57 @@ def test_mix_emits_its_plan(spark):
 # Media
 
 
-def test_payloads_come_back(spark):
-    ts = [*ODD, "x" * 576, "x" * 577]
-    d = frame(spark, ts).withColumn("html", F.lit("clash"))
-    store = media.pages_of_texts(d).persist()
-    got = {r["doc_id"]: r for r in media.resolve(media.sequences(store, id_col="doc_id"), media.read_payloads(store), id_col="doc_id").collect()}
-    assert len(got) == len(ts)
-    stored = {r["doc_id"]: bytes(r["media"]) for r in store.collect()}
-    for i, t in enumerate(ts):
-        data = (t or "").encode()
-        p = data + b"\xff" * (-len(data) % 576 if data else 576)
-        r = got[i]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(p), sha(p))
-        assert r["tail_crc32"] == zlib.crc32(p[-32:]) and r["media_sha256"] == sha(stored[i]) and r["media_bytes"] == len(stored[i])
-        assert media.read_png(stored[i]) == (p, len(data))
-    assert got[7]["feature"] == got[8]["feature"] != got[3]["feature"]
+def _plain_media(text):
+    """What op8 gives for a text, without pages, parsing, store or join."""
+    data = (text or "").encode()
+    p = data + b"\xff" * (-len(data) % 576 if data else 576)
+    x = np.frombuffer(p, np.uint8).astype(int)
+    raw = b"".join(b"\0" + p[i : i + 576] for i in range(0, len(p), 576))
+    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
+    head = (576).to_bytes(4, "big") + (len(p) // 576).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"n_bytes\0" + str(len(data)).encode()) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+    n, s, q = len(p), sum(x.tolist()), sum((x * x).tolist())
+    step = sum(np.abs(x[1:] - x[:-1]).tolist()) * 1000 // max(1, n - 1)
+    hist = "/".join(str(int(((x >= 32 * k) & (x < 32 * k + 32)).sum())) for k in range(8))
+    lines = [" ".join(t.split()) for t in (text or "").split("\n") if t.strip()]
+    captions = [lines[0], [t for t in text.split("\n") if t.strip()][-1]] if lines else ["", ""]
+    positions = f"1,{len(lines) + 1}" if lines else "0,1"
+    return (len(data), n, sha(p), zlib.crc32(p[-32:]), len(png), sha(png), f"mean={s * 1000 // n};var={(q * n - s * s) * 1000 // (n * n)};step={step};hist={hist}", positions, sha("\n".join(captions).encode()))
+
+
+def test_the_whole_media_query_equals_a_plain_version(spark, tmp_path):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    extra = [*ODD, "x" * 576, "x" * 577, "a < b & c > \"d\" 'e' &amp; <p>not markup</p>\n\nsecond  line\n third <img src=x>", "one\ntwo\nthree"]
+    rows = [(i, t) for i, t in enumerate([*texts, *extra])] + [(None, "null id"), (3, texts[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("html", F.lit("clash")).withColumn("digest", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.op8_media(spark, str(tmp_path))
+    want = Counter((i, *_plain_media(t)) for i, t in rows)
+    assert Counter(map(tuple, got.collect())) == want
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert media.op8_media(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_real_pages_give_all_their_text_in_order(spark):
+    import re
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect():
+        got = " ".join(x[1] for x in media.parse(r["html"]) if x[0] == "text")
+        seen = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", r["html"])
+        import html
+
+        plain = html.unescape(re.sub(r"<[^>]*>", " ", seen))
+        assert got.split() == plain.split() or "".join(got.split()) == "".join(plain.split())
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    items = media.sequences(pages)
+    assert items.count() == pages.count() and items.filter(F.size("items") > 0).count() > 0
+
+
+def test_payloads_of_null_media_and_empty_stores(spark):
+    store = spark.createDataFrame([("a", None), ("b", bytearray(media.write_png(*media.padded("x"))))], "digest string, media binary")
+    got = {r["digest"]: r["n_bytes"] for r in media.read_payloads(store).collect()}
+    assert got == {"a": None, "b": 1}
+    assert media.read_payloads(store.limit(0)).count() == 0
+    assert media.sequences(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
 def test_sequences_keep_order_captions_and_gaps(spark):
@@ -336,8 +372,11 @@ def test_sequences_keep_order_captions_and_gaps(spark):
     assert media.parse(None) == media.parse("") == [] and media.parse("<p>open <b") == [["text", "open", None, None]] or media.parse("<p>open <b")
     d = spark.createDataFrame([(1, page), (2, None), (3, page)], "page_id long, html string")
     pay = spark.createDataFrame([("aa", 1, 2, "x", 3, 4, "y", "f")], "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    r = media.resolve(media.sequences(d), pay.unionByName(pay)).orderBy("page_id", "position").collect()
-    assert [(x["page_id"], x["position"], x["digest"], x["feature"]) for x in r] == [(1, 2, "aa", "f"), (1, 4, "bb", None), (3, 2, "aa", "f"), (3, 4, "bb", None)]
+    r = media.resolve(media.sequences(d), pay.unionByName(pay)).orderBy("page_id", "digest").collect()
+    assert [(x["page_id"], [tuple(p) for p in x["places"]], x["digest"], x["feature"]) for x in r] == [(k, *rest) for k in (1, 3) for rest in (([(2, "A caption")], "aa", "f"), ([(4, "B")], "bb", None))]
+    twice = spark.createDataFrame([(1, '<img src="aa" alt="x"><p>t</p><img src="bb"><img src="aa">')], "page_id long, html string")
+    r = media.resolve(media.sequences(twice), pay, copies=spark.createDataFrame([("aa", 5000), ("bb", 1)], "digest string, n long")).orderBy("digest").collect()
+    assert [([tuple(p) for p in x["places"]], x["feature"]) for x in r] == [([(0, "x"), (3, None)], "f"), ([(2, None)], None)]
 
 
 def test_damaged_media_are_refused():
