@@ -9,50 +9,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import slices, stored, table, texts
+from fdrspark.llm.common import hot_keys, join_split, slices, stored, table, texts, trimmed
+from fdrspark.llm.license_texts import TEMPLATES
 
 #: Least cosine of a notice to count.
 LEAST = 0.6
 #: Words in at least this share of the texts go to every task (200 times a text's different words at the most); others are joined.
 COMMON = 0.005
+#: Up to so many folders with a licence of their own are broadcast; more are joined by a shuffle.
+BROADCAST_DIRS = 10_000
 #: Different words that a task counts before it passes its counts on.
 HELD_WORDS = 500_000
 
-#: Short forms of notices and licence files, (licence, text).
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT license."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products."),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-)
-
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _NAMED = re.compile(r"(?i)^(un)?licen[cs]e(\..*)?$|^copying(\..*)?$|^notice(\..*)?$")
 
@@ -188,7 +159,7 @@ def document_frequencies(files: DataFrame) -> DataFrame:
                 count = Counter()
         yield pa.RecordBatch.from_arrays([pa.array([*count, ""], pa.string()), pa.array([*count.values(), n], pa.int64())], names=["word", "n"])
 
-    return files.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return files.select("text").mapInArrow(trimmed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def scan_files(files: DataFrame, *, templates=TEMPLATES, least: float = LEAST, common: float = COMMON) -> DataFrame:
@@ -199,7 +170,9 @@ def scan_files(files: DataFrame, *, templates=TEMPLATES, least: float = LEAST, c
     named like a licence file or its notice stands first; of several that do, the
     one of the highest cosine, then of the least path. Null texts count as empty
     and have no notice; a null path lies in no directory, and inherits nothing.
-    Rows that repeat a path give a result each.
+    The folder that relative paths lie in is above all of them, and is named "".
+    Rows that repeat a path give a result each, an empty table gives none; texts are
+    read whole; other columns, whatever their names, are not read.
     """
     counts = stored(document_frequencies(files), "license_words")
     n = counts.filter("word = ''").agg(F.sum("n")).first()[0] or 0
@@ -228,30 +201,51 @@ def scan_files(files: DataFrame, *, templates=TEMPLATES, least: float = LEAST, c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())], names=["key2", "lic2", "score2", "lead2"])
 
     f = files.select("id", "path", "text")
-    first = stored(f.mapInArrow(run, f"id {f.schema['id'].dataType.simpleString()}, path string, named boolean, own_license string, own_score double, lead boolean, key binary, text string, words array<string>"), "license_texts")
+    first = stored(f.mapInArrow(trimmed(run), f"id {f.schema['id'].dataType.simpleString()}, path string, named boolean, own_license string, own_score double, lead boolean, key binary, text string, words array<string>"), "license_texts")
     unsettled = first.filter("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("words").alias("words"))
     # Words of the join stand in less than the share ``common`` of the texts, so none is hot.
     weighed = unsettled.select("key", F.explode("words").alias("word")).join(counts, "word").groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("word", "n")).alias("weighed"))
-    settled = stored(unsettled.join(weighed, F.col("key") == F.col("k")).select("key", "text", "weighed").mapInArrow(settle, "key2 binary, lic2 string, score2 double, lead2 boolean"), "license_scores")
-    seen = first.drop("text", "words").join(settled, F.col("key") == F.col("key2"), "left")
+    settled = stored(unsettled.join(weighed, F.col("key") == F.col("k")).select("key", "text", "weighed").mapInArrow(trimmed(settle), "key2 binary, lic2 string, score2 double, lead2 boolean"), "license_scores")
+    seen = first.select("id", "path", "named", "own_license", "own_score", "lead", "key").join(settled, F.col("key") == F.col("key2"), "left")
     seen = seen.select("id", "path", F.coalesce("lic2", "own_license").alias("own_license"), F.coalesce("score2", "own_score").alias("own_score"), (F.coalesce("lic2", "own_license").isNotNull() & (F.coalesce("lead2", "lead") | F.col("named"))).alias("speaks"))
-    seen = seen.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    above = F.regexp_replace("path", "/?[^/]*$", "")
+    seen = seen.withColumn("dir", F.when(F.col("path").startswith("/") & (above == ""), "/").otherwise(above))
+    seen = stored(seen, "license_seen")
     best = F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own_license").alias("lic")))
     spoken = seen.filter(F.col("speaks") & F.col("path").isNotNull()).groupBy(F.col("dir").alias("d")).agg(best.alias("b")).select("d", F.col("b.lic").alias("dir_license"))
-    # Each directory looks up its ancestors; as many rows as it has levels.
+    # Each directory looks up its ancestors, the folder that all relative paths lie in being the last; as many rows as it has levels.
     parts = F.split("dir", "/")
     levels = F.sequence(F.lit(0), F.size(parts) - 1)
-    up = seen.filter("path IS NOT NULL").select("dir").distinct().select("dir", F.explode(F.transform(levels, lambda k: F.struct(k.alias("steps"), F.array_join(F.slice(parts, 1, F.size(parts) - k), "/").alias("a")))).alias("x"))
-    up = up.select("dir", "x.steps", "x.a")
-    near = up.join(spoken, up["a"] == spoken["d"]).groupBy("dir").agg(F.min(F.struct("steps", "a", "dir_license")).alias("n"))
-    got = seen.join(near.withColumnRenamed("dir", "dir2"), seen["dir"] == F.col("dir2"), "left")
+    whole = lambda a: F.when(F.col("dir").startswith("/") & (a == ""), "/").otherwise(a)
+    above = F.transform(levels, lambda k: F.struct(k.alias("steps"), whole(F.array_join(F.slice(parts, 1, F.size(parts) - k), "/")).alias("a")))
+    root = F.array(F.struct(F.size(parts).alias("steps"), F.lit("").alias("a")))
+    above = F.when((F.col("dir") == "") | F.col("dir").startswith("/"), above).otherwise(F.concat(above, root))
+    counts = stored(seen.filter("path IS NOT NULL").groupBy("dir").agg(F.count("*").alias("n")), "license_dirs")
+    up = counts.select("dir", F.explode(above).alias("x")).select("dir", "x.steps", "x.a")
+    near = F.broadcast(spoken) if spoken.count() <= BROADCAST_DIRS else spoken
+    near = up.join(near, up["a"] == near["d"]).groupBy(F.col("dir").alias("dir2")).agg(F.min(F.struct("steps", "a", "dir_license")).alias("n"))
+    got = join_split(seen, near, "dir", "dir2", hot_keys(counts, "dir", "n"), ["id", "path"], "left")
     own = F.col("own_license").isNotNull()
     return got.select("id", "path", "own_license", "own_score", F.coalesce("own_license", "n.dir_license").alias("license"), F.when(~own, F.col("n.a")).alias("license_dir"), F.when(own, 0).otherwise(F.col("n.steps") + 1).alias("steps"))
 
 
+def path_of(doc_id: Column, source: Column) -> Column:
+    """A document as a file: the source is its top folder, thousands and fifties of ids are the folders below.
+
+    Every tenth document is a file NOTICE of the folder of its thousand, every
+    hundredth one of its source's folder; a notice in them speaks for these folders.
+    """
+    level = lambda n: F.floor(doc_id / n).cast("long").cast("string")
+    name = doc_id.cast("string")
+    top = F.coalesce(source, F.lit("none"))
+    return (
+        F.when(doc_id % 100 == 0, F.concat_ws("/", top, F.concat(F.lit("NOTICE."), name)))
+        .when(doc_id % 10 == 0, F.concat_ws("/", top, level(1000), F.concat(F.lit("NOTICE."), name)))
+        .otherwise(F.concat(top, F.lit("/"), level(1000), F.lit("/"), level(50), F.lit("/"), name, F.lit(".txt")))
+    )
+
+
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
-    """Documents as files: the source is the top directory, thousands and fifties of ids are levels below it."""
     d = table(spark, sf_dir, "documents")
-    level = lambda n: F.floor(F.col("doc_id") / n).cast("long").cast("string")
-    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), level(1000), F.lit("/"), level(50), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = path_of(F.col("doc_id"), F.col("source"))
     return scan_files(d.select(F.col("doc_id").alias("id"), path.alias("path"), "text")).withColumnRenamed("id", "doc_id")

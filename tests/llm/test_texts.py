@@ -566,6 +566,82 @@ def test_notices_and_inheritance(spark):
     assert pick[5][1] is None and pick[9][1] is None and pick[6][1] == "MIT"
 
 
+def test_the_root_folder_speaks_for_relative_paths(spark):
+    rows = [(1, "LICENSE", licenses.TEMPLATES[0][1]), (2, "src/a.py", "x"), (3, "src/lib/c.py", "x"), (4, "b.py", "x"), (5, "/abs/c.py", "x"), (6, None, "x")]
+    d = spark.createDataFrame(rows, "id long, path string, text string").withColumn("dir", F.lit("clash")).withColumn("key", F.lit(1))
+    got = {r["id"]: (r["license"], r["license_dir"], r["steps"]) for r in licenses.scan_files(d).collect()}
+    assert got == {1: ("MIT", None, 0), 2: ("MIT", "", 2), 3: ("MIT", "", 3), 4: ("MIT", "", 1), 5: (None, None, None), 6: (None, None, None)}
+    assert licenses.scan_files(d.limit(0)).count() == 0
+
+
+def test_whole_licence_files_are_told_apart():
+    m = licenses.Matcher(licenses.TEMPLATES, {"the": 500, "of": 400, "and": 450}, 1000)
+    for name, text in licenses.TEMPLATES:
+        if len(text) > 500:
+            got, score, lead = m.scan("Copyright (c) 2020 Some Body\n\n" + text + "\n")
+            assert got == name and score > 0.9, (name, got, score)
+            assert m.scan("x = 1\n" * 2000 + text)[0] == name
+
+
+def _plain_licences(rows):
+    """Scan and inheritance by brute force: each run of neighbouring lines against each template, each folder asked in turn."""
+    n = len(rows)
+    df = Counter(w for _, _, t in rows for w in set(licenses.tokens(t or "")))
+    idf = lambda w: np.log((1 + n) / (1 + df[w])) + 1
+    vec = lambda ws: {w: (1 + np.log(c)) * idf(w) for w, c in Counter(ws).items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    temps = [(name, vec(licenses.tokens(t))) for name, t in licenses.TEMPLATES]
+    temps = [(name, {w: x / norm(v) for w, x in v.items()}) for name, v in temps]
+    own, spoken = {}, {}
+    for i, path, t in rows:
+        lines = [licenses.tokens(x) for x in (t or "").split("\n") if x.strip()]
+        best = (0.0, None, False)
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                v = vec([w for x in lines[a:b] for w in x])
+                if not v or not any(w in r for w in v for _, r in temps):
+                    continue
+                for name, r in temps:
+                    cos = sum(v[w] * x for w, x in r.items() if w in v) / norm(v)
+                    if cos > best[0] + 1e-9:
+                        best = cos, name, a == 0
+        own[i] = (best[1], best[0]) if best[0] >= licenses.LEAST else (None, None)
+        if own[i][0] and path is not None:
+            folder, _, name = path.rpartition("/")
+            if name.split(".")[0].lower() in ("license", "licence", "unlicense", "copying", "notice") or best[2]:
+                spoken.setdefault(folder, []).append((-round(best[0], 6), path, best[1]))
+    out = {}
+    for i, path, _ in rows:
+        found = (own[i][0], None, 0 if own[i][0] else None)
+        if not own[i][0] and path is not None:
+            folder, steps = path.rpartition("/")[0], 1
+            while True:
+                if folder in spoken:
+                    found = min(spoken[folder])[2], folder, steps
+                    break
+                if not folder:
+                    break
+                folder, steps = folder.rpartition("/")[0], steps + 1
+        out[i] = (own[i][0], *found)
+    return out, {i: s for i, (_, s) in own.items() if s}
+
+
+def test_the_whole_licence_query_equals_brute_force(spark, tmp_path):
+    docs = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len((r["text"] or "").split("\n")) <= 25]
+    taken = {i for i, _, _ in docs}
+    notices = [t for _, t in licenses.TEMPLATES]
+    extra = [(10_000 + 10 * k, "src1", f"some words here\n{t}") for k, t in enumerate(notices[:9])] + [(10_001 + 10 * k, "src1", f"file {k}\nno notice") for k in range(60)]
+    extra += [(100_000, "solo", "head\nReleased under the MIT License."), (100_001, "solo", "plain words"), (100_002, None, None), (100_003, "solo", "")]
+    d = spark.createDataFrame([x for x in [*docs, *extra] if x in docs or x[0] not in taken], "doc_id long, source string, text string")
+    d.withColumn("path", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = licenses.op10_licenses(spark, str(tmp_path)).collect()
+    rows = [(r["doc_id"], r["path"], r["text"]) for r in d.select("doc_id", "text", licenses.path_of(F.col("doc_id"), F.col("source")).alias("path")).collect()]
+    want, scores = _plain_licences(rows)
+    assert {r["doc_id"]: (r["own_license"], r["license"], r["license_dir"], r["steps"]) for r in got} == want
+    assert all(abs(r["own_score"] - scores[r["doc_id"]]) < 1e-5 for r in got if r["doc_id"] in scores)
+    assert sum((r["steps"] or 0) > 0 for r in got) >= 20  # notices are inherited
+
+
 def test_matcher_equals_a_dense_cosine():
     m = licenses.Matcher(licenses.TEMPLATES, {"the": 500, "under": 100}, 1000)
     text = "This file is licensed under the MIT license, all of it"
