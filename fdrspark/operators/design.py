@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fdrspark.functions.columns import present, with_scalars
 from fdrspark.functions.rng import unit
+from fdrspark.operators.marginal import global_rank
 
 EPS = 1e-12
 
@@ -111,7 +112,8 @@ def common_samples(samples: DataFrame) -> DataFrame:
     chroms = samples.agg(F.count_distinct("chrom").alias("_c"), F.min("chrom").alias("_first"))
     have = with_scalars(samples.groupBy("iid").agg(F.count_distinct("chrom").alias("n")), chroms).filter(F.col("n") == F.col("_c")).select("iid")
     common = samples.join(have, "iid", "left_semi")
-    first = with_scalars(common, chroms.select("_first")).filter(F.col("chrom") == F.col("_first")).select("iid", F.row_number().over(Window.orderBy("pos")).alias("rank"))
+    first = with_scalars(common, chroms.select("_first")).filter(F.col("chrom") == F.col("_first")).select("iid", "pos")
+    first = global_rank(first, ["pos", "iid"]).select("iid", F.col("rank").cast("int").alias("rank"))
     return common.join(first, "iid").select("chrom", "iid", "pos", "rank")
 
 

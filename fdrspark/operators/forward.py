@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fdrspark.functions.columns import with_scalars
+from fdrspark.operators.marginal import global_rank
 
 
 def winner(corr: DataFrame) -> DataFrame:
@@ -42,10 +43,8 @@ def first_step(corr: DataFrame, inner: DataFrame) -> DataFrame:
 
 def entry_order(path: DataFrame, tol: float = 1e-12) -> DataFrame:
     """(j, entry_step, entry_pos) from (step, j, beta): the first step with a coefficient; ties by j."""
-    from pyspark.sql import Window
-
     e = path.filter(F.abs("beta") > tol).groupBy("j").agg(F.min("step").alias("entry_step"))
-    return e.withColumn("entry_pos", F.row_number().over(Window.orderBy("entry_step", "j")))
+    return global_rank(e, ["entry_step", "j"]).withColumn("entry_pos", F.col("rank").cast("int")).drop("rank")
 
 
 def fit_statistics(path: DataFrame, sigma2: float | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fdrspark.functions.rng import unit
+from fdrspark.session import shared_dir
 
 
 def gram_pairs(rows: DataFrame, p: int) -> DataFrame:
@@ -72,10 +73,7 @@ def block_edges(features: DataFrame, threshold: float = 0.7, block: int = 1024)
 
 
 def _written(df: DataFrame) -> DataFrame:
-    d = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    if not d:  # one machine, as in tests: the session's own tables
-        return df.persist()
-    path = f"{d.rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/clusters-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

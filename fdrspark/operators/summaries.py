@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import statistics
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fdrspark.functions.columns import with_scalars
-from fdrspark.functions.tails import normal_cdf
+from fdrspark.functions.tails import normal_cdf, normal_quantile
 from fdrspark.operators.marginal import global_rank
 
 
@@ -42,13 +39,8 @@ def ks_normal(values: DataFrame) -> DataFrame:
 def w1_normal(values: DataFrame) -> DataFrame:
     """(n, w1): the mean distance of sorted values to normal quantiles at (i - 1/2) / n."""
 
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        inv = statistics.NormalDist().inv_cdf
-        return p.map(inv)
-
     r = with_scalars(global_rank(values, ["x", "id"]), values.agg(F.count("*").alias("n")))
-    return r.select("n", F.abs(F.col("x") - quantile((F.col("rank") - 0.5) / F.col("n"))).alias("d")).agg(F.first("n").alias("n"), F.avg("d").alias("w1"))
+    return r.select("n", F.abs(F.col("x") - normal_quantile((F.col("rank") - 0.5) / F.col("n"))).alias("d")).agg(F.first("n").alias("n"), F.avg("d").alias("w1"))
 
 
 def bands(values: DataFrame, qs: tuple[float, ...] = (0.01, 0.5, 0.99)) -> DataFrame:

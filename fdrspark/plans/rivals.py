@@ -5,14 +5,17 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fdrspark.functions.rng import normals, unit
+from fdrspark.functions.rng import normal, normals, unit
 from fdrspark.functions.tails import t_two_sided
 from fdrspark.operators import marginal
+from fdrspark.operators.design import xt_times
 from fdrspark.operators.votes import fdp_tpp
 from fdrspark.plans import kernels, selector
+from fdrspark.streaming import sums as streams
 
 METHODS = ("trex", "bh", "by", "bh_stream", "by_stream", "bh_ols", "bh_hd", "by_hd", "ko_hd", "ko_id", "ko_gaussian")
 
@@ -100,6 +103,74 @@ def _pick(spark, names, cols, p_or_w: np.ndarray, kind: str, level: float) -> Da
     return marginal.knockoff_select(d, level).filter("selected").select("j", F.col("w").alias("statistic"))
 
 
+def gram(long: DataFrame, response: DataFrame) -> tuple[list, np.ndarray]:
+    """The names of the p columns, and Z^T Z of Z = (X, 1, y): tasks add up their rows' products, then each row of the result is added up over tasks.
+
+    The driver holds p^2 numbers, never the rows; for p up to some thousands.
+    """
+    names = [r["j"] for r in long.select("j").distinct().orderBy("j").collect()]
+    place = {j: i for i, j in enumerate(names)}
+    p = len(names)
+    wide = long.groupBy("row_id").agg(F.collect_list("j").alias("js"), F.collect_list("x").alias("xs")).join(response, "row_id").select("js", "xs", "y")
+
+    def run(batches):
+        total = np.zeros((p + 2, p + 2))
+        for batch in batches:
+            z = np.zeros((batch.num_rows, p + 2))
+            size = np.asarray(batch.column(0).value_lengths())
+            rows = np.repeat(np.arange(batch.num_rows), size)
+            z[rows, [place[j] for j in batch.column(0).flatten().to_pylist()]] = batch.column(1).flatten().to_numpy()
+            z[:, p], z[:, p + 1] = 1, batch.column(2).to_numpy()
+            total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(range(p + 2), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["i", "v"])
+
+    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(t.num_rows, p + 2).sum(0)
+        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    rows = wide.mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(add, "i int, v binary").collect()
+    return names, np.array([np.frombuffer(bytes(r["v"])) for r in sorted(rows, key=lambda r: r["i"])]).reshape(p + 2, p + 2)
+
+
+def ols_p_of_gram(g: np.ndarray) -> np.ndarray:
+    """Two-sided p of each coefficient of a regression with intercept, from Z^T Z of Z = (X, 1, y)."""
+    p, n = len(g) - 2, g[-2, -2]
+    inv = np.linalg.pinv(g[:-1, :-1], hermitian=True)
+    b = inv @ g[:-1, -1]
+    dof = max(n - p - 1, 1)
+    rss = max(g[-1, -1] - b @ g[:-1, -1], 0.0)
+    return t_two_sided(b / np.sqrt(np.maximum(np.diag(inv) * rss / dof, 1e-300)), dof)[:p]
+
+
+def is_binary(response: DataFrame) -> bool:
+    """Whether a response takes no values but 0 and 1, and both."""
+    got = response.agg(F.min("y"), F.max("y"), F.count_if(~F.col("y").isin(0.0, 1.0))).first()
+    return tuple(got) == (0.0, 1.0, 0)
+
+
+def p_values(spark: SparkSession, long: DataFrame, response: DataFrame, streamed: bool = False) -> DataFrame:
+    """(j, p) of each column: of a full regression where rows are more than twice the columns and its p are all numbers, else one by one.
+
+    One by one: the trend test for a binary response, else the marginal
+    regression's t. Streamed tests are always one by one, from sums over a stream.
+    """
+    binary = is_binary(response)
+    if not streamed:
+        size = response.agg(F.count("*").alias("n")).crossJoin(long.agg(F.count_distinct("j").alias("p"))).first()
+        if size["n"] > 2 * size["p"]:
+            names, g = gram(long, response)
+            p = ols_p_of_gram(g)
+            if np.isfinite(p).all() and ((p >= 0) & (p <= 1)).all():
+                kind = long.schema["j"].dataType.simpleString()
+                return spark.createDataFrame(list(zip(names, p.tolist(), strict=True)), f"j {kind}, p double")
+    if binary:
+        dosages = long.withColumnRenamed("x", "g")
+        z = streams.trend_over_stream(spark, dosages, response) if streamed else marginal.trend_test(dosages, response)
+        return marginal.with_p(z, "z").select("j", "p")
+    t = streams.regression_over_stream(spark, long, response) if streamed else marginal.marginal_regression(long, response)
+    return marginal.with_p(t, "t", "df").select("j", "p")
+
+
 def run(spark: SparkSession, long: DataFrame, response: DataFrame, method: str, alpha: float = 0.1, seed: int = 0, screen_share: float = 0.375) -> DataFrame:
     """(j, statistic) of the columns that a method selects."""
     if method not in METHODS:
@@ -108,18 +179,21 @@ def run(spark: SparkSession, long: DataFrame, response: DataFrame, method: str,
         s = selector.select(spark, long, response, selector.Options(target=alpha, l_factor=5, mode="calibrate_t", stride=5, max_stale=2, seed=seed))
         return s.selected.select("j", F.col("phi").alias("statistic"))
     if method in ("bh", "by", "bh_stream", "by_stream"):
-        # marginal tests: three sums per column, whichever way the rows come
-        d = marginal.with_p(marginal.marginal_regression(long, response), "t").select("j", "p")
+        d = p_values(spark, long, response, method.endswith("_stream"))
         return marginal.step_up(d, alpha, method.startswith("by")).filter("reject").select("j", F.col("p").alias("statistic"))
-    x, y, names = selector.local_matrix(long, response)
-    n, p = x.shape
     if method == "bh_ols":
-        return _pick(spark, names, range(p), ols_p(x, y, True), "bh", alpha)
+        names, g = gram(long, response)
+        return _pick(spark, names, range(len(names)), ols_p_of_gram(g), "bh", alpha)
     if method == "ko_id":
-        fake = normals((seed, 42), np.arange(n * p)).reshape(n, p)
-        fake = (fake - fake.mean(0)) / np.linalg.norm(fake - fake.mean(0), axis=0)
-        return _pick(spark, names, range(p), np.abs(x.T @ y) - np.abs(fake.T @ y), "w", alpha)
+        # Copies are independent normals, as they come; nothing leaves the cluster.
+        fake = long.select("row_id", "j", normal(seed, F.col("row_id"), F.col("j")).alias("x"))
+        pair = xt_times(long, response).join(xt_times(fake, response).withColumnRenamed("c", "ck"), "j")
+        return marginal.knockoff_select(pair.select("j", (F.abs("c") - F.abs("ck")).alias("w")), alpha).filter("selected").select("j", F.col("w").alias("statistic"))
+    x, y, names = selector.local_matrix(long, response)
+    n, p = x.shape
     if method == "ko_gaussian":
+        if is_binary(response):  # a little noise parts its ties
+            y = y + 1e-6 * normals((seed, 44), np.arange(n))
         fake = equi_knockoffs(x, seed) if n >= 2 * p else gaussian_knockoffs(x, seed)
         return _pick(spark, names, range(p), entry_statistics(x, fake, y), "w", alpha)
     screen = _split(spark, n, screen_share, seed, y)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fdrspark.functions.columns import finite, r6, sigmoid, with_scalars
 from fdrspark.functions.rng import normal, normal_sql, sphere_sql, unit, unit_sql
-from fdrspark.functions.tails import normal_cdf_sql, normal_two_sided_sql
+from fdrspark.functions.tails import normal_cdf_sql, normal_quantile_sql, normal_two_sided_sql, t_two_sided_sql
 from fdrspark.operators import design, forward, marginal, phenotypes, prune, summaries
 from fdrspark.operators import pool as pools
 from fdrspark.operators import votes as V
@@ -210,10 +210,16 @@ def ca_test(spark, sf):
     return marginal.with_p(_trend(spark, sf), "z").select("j", r6("z").alias("z"), r6("p").alias("p"))
 
 
+@query(f"WITH {CA_SQL}, n AS (SELECT count(*)::DOUBLE AS n FROM lab) SELECT j, {R('z / sqrt(n)')} AS z FROM ca, n")
+def ca_test_unscaled(spark, sf):
+    """The trend test with the variance that leaves out the last division by n."""
+    return marginal.trend_test(*fx.text_dosages(spark, sf), scaled=False).select("j", r6("z").alias("z"))
+
+
 MT_SQL = f"""{fx.P_SQL},
 mr AS (SELECT j, least(greatest(corr(x, y), -1 + 1e-10), 1 - 1e-10) AS r, count(*) - 2 AS df FROM xs JOIN y USING (row_id) GROUP BY j),
 mt AS (SELECT j, r, r * sqrt(df / (1 - r * r)) AS t, df FROM mr),
-mp AS (SELECT j, t, {normal_two_sided_sql('t')} AS p FROM mt)"""
+mp AS (SELECT j, t, {t_two_sided_sql('t', 'df')} AS p FROM mt)"""
 
 
 def _marginal(spark, sf):
@@ -242,7 +248,7 @@ c AS (SELECT coalesce(max(rank), 0) AS kk FROM k WHERE p <= rank * 0.1::DOUBLE /
 
 
 def _up(spark, sf, dependent):
-    d = marginal.with_p(_marginal(spark, sf), "t").select("j", "p")
+    d = marginal.with_p(_marginal(spark, sf), "t", "df").select("j", "p")
     return marginal.step_up(d, 0.1, dependent).select("j", r6("p").alias("p"), "rank", "reject")
 
 
@@ -601,7 +607,7 @@ def ks_normal(spark, sf):
     return summaries.ks_normal(_prices(spark, sf)).select("n", r6("ks").alias("ks"))
 
 
-@query()
+@query(f"WITH {PRICE_SQL}, r AS (SELECT x, row_number() OVER (ORDER BY x, id) AS i, count(*) OVER () AS n FROM pr) SELECT any_value(n) AS n, {R('avg(abs(x - ' + normal_quantile_sql('((i - 0.5::DOUBLE) / n)') + '))')} AS w1 FROM r")
 def w1_normal(spark, sf):
     return summaries.w1_normal(_prices(spark, sf)).select("n", r6("w1").alias("w1"))
 
@@ -782,21 +788,55 @@ def explicit_null_laws(spark, sf):
     return studies.explicit_races(spark, *fx.planted(spark, sf))
 
 
+#: Knockoff+ can select k columns only at levels of 1/k and more: five planted ones need 0.2, and 0.3 leaves room for a miss.
+KNOCKOFF_LEVEL = 0.3
+
+
 def _rival(name):
     def run(spark, sf):
-        return rivals.run(spark, *fx.planted(spark, sf), name, alpha=0.1, seed=3)
+        alpha = KNOCKOFF_LEVEL if name.startswith("ko") else 0.1
+        x, y = fx.planted(spark, sf)
+        if name == "ko_id":  # its copies have unit variance, so the columns get it too
+            x = with_scalars(x, y.agg(F.sqrt(F.count("*")).alias("_n"))).select("row_id", "j", (F.col("x") * F.col("_n")).alias("x"))
+        return rivals.run(spark, x, y, name, alpha=alpha, seed=3).select("j", r6("statistic").alias("statistic"))
 
     return run
 
 
 for _name in rivals.METHODS:
     QUERIES[f"method_{_name}"] = _rival(_name)
+for _name, _dependent in (("method_bh_stream", False), ("method_by_stream", True)):
+    SQL[_name] = f"SELECT j, p AS statistic FROM ({_up_sql(_dependent)}) WHERE reject"
+SQL["method_ko_id"] = f"""WITH {CORR_SQL}, xk AS (SELECT row_id, j, {normal_sql(3, 'row_id', 'j')} AS x FROM x),
+w AS (SELECT j, abs(c * sqrt((SELECT count(*) FROM y))) - abs(ck) AS w FROM corr JOIN (SELECT j, sum(x * y) AS ck FROM xk JOIN y USING (row_id) GROUP BY j) USING (j)),
+t AS (SELECT DISTINCT abs(w) AS t FROM w WHERE w <> 0),
+ok AS (SELECT t FROM t, w GROUP BY t HAVING (1 + sum((w <= -t)::INT))::DOUBLE / greatest(1, sum((w >= t)::INT)) <= {KNOCKOFF_LEVEL})
+SELECT j, {R('w')} AS statistic FROM w WHERE w >= coalesce((SELECT min(t) FROM ok), 'inf'::DOUBLE)"""
+
+
+BINARY_SQL = f"""WITH {CA_SQL}, cp AS (SELECT j, {normal_two_sided_sql('z')} AS p FROM ca),
+k AS (SELECT j, p, row_number() OVER (ORDER BY p, j) AS rank, count(*) OVER () AS m FROM cp),
+c AS (SELECT coalesce(max(rank), 0) AS kk FROM k WHERE p <= rank * 0.1::DOUBLE / m) SELECT j, {R('p')} AS statistic FROM k, c WHERE rank <= kk"""
+
+
+@query(BINARY_SQL)
+def method_bh_binary(spark, sf):
+    """A binary response with more columns than rows: trend tests."""
+    g, y = fx.text_dosages(spark, sf)
+    return rivals.run(spark, g.withColumnRenamed("g", "x"), y, "bh", alpha=0.1).select("j", r6("statistic").alias("statistic"))
+
+
+@query(BINARY_SQL)
+def method_bh_stream_binary(spark, sf):
+    g, y = fx.text_dosages(spark, sf)
+    return rivals.run(spark, g.withColumnRenamed("g", "x"), y, "bh_stream", alpha=0.1).select("j", r6("statistic").alias("statistic"))
 
 
 @query()
 def all_methods(spark, sf):
+    """All methods over one matrix, without their times, which no rerun repeats."""
     x, y = fx.planted(spark, sf)
-    return rivals.run_all(spark, x, y, TRUTH, ["bh", "by", "ko_id", "trex"], alpha=0.1, seed=3)
+    return rivals.run_all(spark, x, y, TRUTH, list(rivals.METHODS), alpha=0.1, seed=3).drop("runtime_s")
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,6 +11,21 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parent.parent
 
 
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or of its context.
+
+    Where that is unset a local session gets a temporary folder of its own; any
+    other must name one.
+    """
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = f"file://{tempfile.mkdtemp(prefix='fdrspark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
 def ship(spark) -> None:
     """Send the library's sources to the executors, once per SparkContext."""
     sc = spark.sparkContext
