@@ -8,6 +8,8 @@ draws the same.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +19,25 @@ from fdrspark.functions.rng import normals, sphere_coordinates
 REAL, DUMMY = "real", "dummy"
 
 
+class Columns:
+    """Columns (or rows) that are appended one by one to an array with room to spare."""
+
+    def __init__(self, length: int, by_rows: bool = False):
+        self.by_rows, self.count = by_rows, 0
+        self.data = np.empty((8, length))
+
+    def append(self, v: np.ndarray) -> None:
+        if self.count == len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[self.count] = v
+        self.count += 1
+
+    @property
+    def view(self) -> np.ndarray:
+        rows = self.data[: self.count]
+        return rows if self.by_rows else rows.T
+
+
 @dataclass
 class Race:
     """State that all selectors share: active columns, the basis, and the pool of null columns."""
@@ -30,6 +51,7 @@ class Race:
     eps: float = 1e-12
     max_basis: int | None = None
     given: np.ndarray | None = None  # explicit null columns, in place of a pool
+    hook: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None  # (y, fit) -> score, in place of the residual
     status: str = "running"
     entries: list[tuple[str, int, int]] = field(default_factory=list)  # kind, index, dummies before
     path: list[dict[int, float]] = field(default_factory=list)
@@ -41,12 +63,11 @@ class Race:
             raise ValueError("X and y disagree in rows")
         self.n, self.p = self.x.shape
         self.cap = min(self.n - 1, self.max_basis or max(32, self.n))
-        self.basis = np.zeros((self.n, 0))
-        self.coords = np.zeros((0, self.n_dummies))
+        self._basis, self._coords = Columns(self.n), Columns(self.n_dummies, by_rows=True)
+        self._active, self._span = Columns(self.n), Columns(self.n)
         self.stick = np.ones(self.n_dummies)
         self.open = np.ones(self.n_dummies, bool)  # not yet made
-        self.active = np.zeros((self.n, 0))
-        self.span = np.zeros((self.n, 0))  # of the active columns, orthonormal
+        self.gram = np.zeros((0, 0))  # of the active columns
         self.is_real = np.zeros(self.p, bool)
         self.made: list[int] = []
         self.fit = np.zeros(self.n)
@@ -58,9 +79,28 @@ class Race:
         else:
             self.grow(self.start_direction())
 
+    basis = property(lambda self: self._basis.view)
+    coords = property(lambda self: self._coords.view)
+    active = property(lambda self: self._active.view)
+    span = property(lambda self: self._span.view, doc="of the active columns, orthonormal")
+
     def start_direction(self) -> np.ndarray:
         return self.y
 
+    def save(self) -> bytes:
+        """All of the state but X, y and given null columns, which whoever loads it has."""
+        return pickle.dumps({k: v for k, v in self.__dict__.items() if k not in ("x", "y", "given")}, protocol=5)
+
+    @classmethod
+    def load(cls, blob: bytes, x: np.ndarray, y: np.ndarray, given: np.ndarray | None = None) -> Race:
+        """The race that was saved, to be run on; an error if X has another shape than it had."""
+        state = pickle.loads(blob)
+        if np.shape(x) != (state["n"], state["p"]) or len(y) != state["n"]:
+            raise ValueError(f"the saved race has {state['n']} x {state['p']}, not {np.shape(x)}")
+        race = cls.__new__(cls)
+        race.__dict__.update(state, x=np.asarray(x, float), y=np.asarray(y, float), given=given)
+        return race
+
     @property
     def n_made(self) -> int:
         return len(self.made)
@@ -79,7 +119,7 @@ class Race:
         if w is None or self.basis.shape[1] >= self.cap:
             return False
         m = self.basis.shape[1]
-        self.basis = np.column_stack([self.basis, w])
+        self._basis.append(w)
         if self.given is not None:
             a = self.given.T @ w
         else:
@@ -91,7 +131,7 @@ class Race:
             elif self.n - m - 2 > 0:
                 a[live] = np.sqrt(self.stick[live]) * sphere_coordinates(self.n - m - 2, key, live)
                 self.stick[live] = np.maximum(self.stick[live] - a[live] ** 2, 0)
-        self.coords = np.vstack([self.coords, a])
+        self._coords.append(a)
         return True
 
     def pool_products(self, v: np.ndarray) -> np.ndarray:
@@ -120,7 +160,7 @@ class Race:
         size = np.linalg.norm(q)
         if size < 1e-8:
             return False
-        self.span = np.column_stack([self.span, q / size])
+        self._span.append(q / size)
         return True
 
     def enter(self, kind: str, index: int, sign: float = 1.0) -> bool:
@@ -135,20 +175,30 @@ class Race:
             self.open[index] = False
             self.made.append(index)
         self.entries.append((kind, index, before))
-        self.active = np.column_stack([self.active, sign * column])
+        self.append_active(sign * column)
         self.coef = np.append(self.coef, 0.0)
         self.after_entry(column)
         if kind == DUMMY:
             self.stick[index] = 0.0
         return True
 
+    def append_active(self, column: np.ndarray) -> None:
+        shared = self.active.T @ column
+        self._active.append(column)
+        self.gram = np.block([[self.gram, shared[:, None]], [shared[None, :], np.array([[column @ column]])]])
+
     def after_entry(self, column: np.ndarray) -> None:
         if not self.grow(column) and self.basis.shape[1] >= self.cap:
             self.status = "pool exhausted"
 
     def score(self) -> np.ndarray:
-        """The direction along which columns compete."""
-        return self.residual
+        """The direction along which columns compete; a hook's is taken into the basis, centred, so that the pool sees all of it."""
+        if self.hook is None:
+            return self.residual
+        s = self.hook(self.y, self.fit)
+        s = s - s.mean()
+        self.grow(s)
+        return s
 
     def record(self) -> None:
         signs = self.signs()
@@ -191,11 +241,17 @@ class LeastAngle(Race):
     """Least angle regression: all active columns keep equal products with the residual, which fall together."""
 
     tol = 1e-10
+    #: Steps after which the products with the residual, which are carried on from step to step, are taken anew.
+    refresh = 64
 
     def __post_init__(self):
-        self.sign = np.zeros(0)
+        self.sign, self.steps = np.zeros(0), 0
         super().__post_init__()
 
+    def products(self) -> None:
+        self.c = self.x.T @ self.residual
+        self.null = self.pool_products(self.residual)
+
     def signs(self) -> np.ndarray:
         return self.sign
 
@@ -207,9 +263,11 @@ class LeastAngle(Race):
         return True
 
     def step(self) -> bool:
-        r = self.residual
-        c = self.x.T @ r
-        null = np.where(self.open, self.pool_products(r), 0.0)
+        if self.steps % self.refresh == 0:
+            self.products()
+        self.steps += 1
+        # The residual lies in the basis, so that a pool drawn along new directions keeps its products with it.
+        r, c, null = self.residual, self.c, np.where(self.open, self.null, 0.0)
         top = np.abs(self.active.T @ r).max(initial=0.0)
         if not len(self.entries):
             first = self.leader()
@@ -226,20 +284,21 @@ class LeastAngle(Race):
             self._join(REAL, int(j), c[j])
         if not len(self.entries):
             return False
-        g = self.active.T @ self.active
-        w = np.linalg.solve(g, np.ones(len(g)))
+        w = np.linalg.solve(self.gram, np.ones(len(self.gram)))
         a_top = 1 / np.sqrt(max(w.sum(), 1e-300))
         w *= a_top
         u = self.active @ w
         a, a_null = self.x.T @ u, self.pool_products(u)
         gamma, j = self._least(c, a, ~self.is_real, top, a_top)
-        null = np.where(self.open, self.pool_products(r), 0.0)
+        null = np.where(self.open, self.null, 0.0)
         gamma_null, d = self._least(null, a_null, self.open, top, a_top)
         full = top / a_top
         move = min(gamma, gamma_null, full)
         self.fit = self.fit + move * u
         self.coef = self.coef + move * w
         self.residual = self.y - self.fit
+        self.c = c - move * a
+        self.null = self.null - move * a_null
         if gamma_null < gamma + self.tol and gamma_null <= full:
             self._join(DUMMY, d, float(null[d] - move * a_null[d]))
             return True
@@ -348,6 +407,8 @@ def make(solver: str, x, y, n_dummies, rho: float = 1.0, **options) -> Race:
         raise ValueError(f"solver {solver!r} is none of {sorted(SOLVERS)}")
     if solver.startswith("afs"):
         options["rho"] = rho
+    if options.get("hook") and solver in ("lars", "afs_logistic"):
+        raise ValueError(f"{solver} has a score of its own")
     return SOLVERS[solver](np.asarray(x, float), np.asarray(y, float), n_dummies, **options)
 
 

@@ -14,9 +14,13 @@ from fdrspark.functions.tails import t_two_sided
 from fdrspark.operators import marginal
 from fdrspark.operators.design import xt_times
 from fdrspark.operators.votes import fdp_tpp
-from fdrspark.plans import kernels, selector
+from fdrspark.plans import selector
+from fdrspark.plans.explicit import TerminatingPath
 from fdrspark.streaming import sums as streams
 
+#: The widest matrix that a path screens; wider ones are screened column by column.
+WIDE = 50_000
+
 METHODS = ("trex", "bh", "by", "bh_stream", "by_stream", "bh_ols", "bh_hd", "by_hd", "ko_hd", "ko_id", "ko_gaussian")
 
 
@@ -59,17 +63,13 @@ def gaussian_knockoffs(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def entry_statistics(x: np.ndarray, fake: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each column how early it enters a least angle path, against its copy."""
+    """For each column how early it enters a lasso path, against its copy."""
     p = x.shape[1]
     both = np.column_stack([x, fake])
-    r = kernels.LeastAngle(both / np.maximum(np.linalg.norm(both, axis=0), 1e-12), y, 0)
-    steps = 0
-    while r.status == "running" and steps < min(2 * p, len(y) - 2):
-        if not r.step():
-            break
-        steps += 1
+    r = TerminatingPath(both / np.maximum(np.linalg.norm(both, axis=0), 1e-12), np.zeros((len(y), 0)), y, lasso=True).run(0, early_stop=False)
     order = np.zeros(2 * p)
-    for pos, (_, i, _) in enumerate(r.entries):
+    entered = list(dict.fromkeys(a - 1 for a in r.actions if a > 0))  # first entries
+    for pos, i in enumerate(entered):
         order[i] = 2 * p - pos
     return np.maximum(order[:p], order[p:]) * np.sign(order[:p] - order[p:])
 
@@ -77,7 +77,7 @@ def entry_statistics(x: np.ndarray, fake: np.ndarray, y: np.ndarray) -> np.ndarr
 def _split(spark, n: int, share: float, seed: int, y: np.ndarray) -> np.ndarray:
     """Which rows screen: a share of each class of a binary response, else of all."""
     u = np.array([r["u"] for r in spark.range(n).select("id", unit(seed, F.col("id")).alias("u")).orderBy("id").collect()])
-    classes = (y > np.median(y)).astype(int) if len(np.unique(np.round(y, 6))) > 2 else (y > y.mean()).astype(int)
+    classes = np.zeros(n, int) if len(np.unique(np.round(y, 6))) > 2 else (y > y.mean()).astype(int)
     out = np.zeros(n, bool)
     for c in np.unique(classes):
         rows = np.flatnonzero(classes == c)
@@ -86,13 +86,17 @@ def _split(spark, n: int, share: float, seed: int, y: np.ndarray) -> np.ndarray:
 
 
 def _screened(x, y, keep: int) -> np.ndarray:
-    """The first ``keep`` columns of a least angle path."""
+    """The first ``keep`` columns of a lasso path; of more than WIDE columns, those of the largest marginal |r|, as where the path ends early."""
     xs = x - x.mean(0)
     xs = xs / np.maximum(np.linalg.norm(xs, axis=0), 1e-12)
-    r = kernels.LeastAngle(xs, y - y.mean(), 0)
-    while r.status == "running" and len(r.entries) < keep and r.step():
-        pass
-    return np.sort([i for _, i, _ in r.entries[:keep]]).astype(int)
+    by_r = np.argsort(-np.abs(xs.T @ (y - y.mean())), kind="stable")
+    picked: list[int] = []
+    if x.shape[1] <= WIDE:
+        r = TerminatingPath(xs, np.zeros((len(y), 0)), y - y.mean(), lasso=True)
+        while len(picked) < keep and r.status == "running" and r._step():
+            picked = list(dict.fromkeys(a - 1 for a in r.actions if a > 0))
+    picked = list(dict.fromkeys([*picked, *by_r.tolist()]))[:keep]
+    return np.sort(picked).astype(int)
 
 
 def _pick(spark, names, cols, p_or_w: np.ndarray, kind: str, level: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from fdrspark.functions.tails import normal_cdf_sql, normal_quantile_sql, normal
 from fdrspark.operators import design, forward, marginal, phenotypes, prune, summaries
 from fdrspark.operators import pool as pools
 from fdrspark.operators import votes as V
-from fdrspark.plans import block, rivals, selector, studies
+from fdrspark.plans import block, explicit, kernels, rivals, selector, studies, tables
 from fdrspark.sources import fixtures as fx
 from fdrspark.streaming import sums as streams
 
@@ -772,13 +773,34 @@ for _name, _solver, _rho in (("lars_path", "lars", 1.0), ("omp_path", "omp", 1.0
     QUERIES[_name] = _path(_solver, _rho)
 
 
+@query()
+def terminating_path(spark, sf):
+    """A lasso path among explicit null columns, until the third of them is active."""
+    x, y, _ = selector.local_matrix(*fx.planted(spark, sf))
+    d = kernels.explicit_null(len(y), P, "gaussian", 5)
+    return explicit.TerminatingPath(x, d, y, lasso=True).run(3).coefficients(spark).select("step", "kind", "idx", r6("beta").alias("beta"))
+
+
+@query()
+def race_accessors(spark, sf):
+    x, y, _ = selector.local_matrix(*fx.planted(spark, sf))
+    race = kernels.make("lars", x, y, L, seed=5).run(3)
+    return tables.accessor_tables(spark, race)["products"].select("kind", "idx", r6("c").alias("c"))
+
+
+@query()
+def race_table_function(spark, sf):
+    """Entries of four races, asked for in SQL."""
+    x, y, _ = selector.local_matrix(*fx.planted(spark, sf))
+    tables.register_races(spark, "fdr_races", x, y, seed=5)
+    return spark.sql(f"SELECT k.id AS k, r.* FROM range(4) k, LATERAL fdr_races(CAST(k.id AS INT), {L}, 3) r")
+
+
 @query()
 def block_lars(spark, sf):
     """The same races with the matrix left distributed."""
     x, y = fx.planted(spark, sf)
     f = design.feature_major(x).repartition(8, "j").persist()
-    import numpy as np
-
     v = np.array([r["y"] for r in y.orderBy("row_id").collect()])
     return block.block_races(spark, f, v, P, L, 2, 4, seed=5)
 

@@ -104,3 +104,63 @@ def test_false_discoveries_are_held_in_a_small_study():
         got = studies.local_selection(x, y, 0.2, 10, 400, 6, rep)
         fdp.append(len(np.setdiff1d(got, true)) / max(len(got), 1))
     assert np.mean(fdp) <= 0.3
+
+
+def test_saved_races_and_paths_go_on_as_if_never_stopped():
+    from fdrspark.plans.explicit import TerminatingPath
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 20))
+    x -= x.mean(0)
+    x /= np.linalg.norm(x, axis=0)
+    d = kernels.explicit_null(60, 40, "gaussian", 3)
+    y = x[:, :3].sum(1) * 3 + rng.standard_normal(60) * 0.2
+    y -= y.mean()
+    whole = kernels.make("lars", x, y, 40, seed=2).run(6)
+    part = kernels.LeastAngle.load(kernels.make("lars", x, y, 40, seed=2).run(2).save(), x, y).run(6)
+    assert part.entries == whole.entries and np.allclose(part.fit, whole.fit)
+    with pytest.raises(ValueError):
+        kernels.LeastAngle.load(whole.save(), x[:, :5], y)
+    whole = TerminatingPath(x, d, y).run(5)
+    part = TerminatingPath.load(TerminatingPath(x, d, y).run(2).save(), x, d, y).run(5)
+    assert part.actions == whole.actions and np.allclose(part.coef, whole.coef) and whole.active_nulls == 5
+    # the same order as the race over explicit null columns
+    race = kernels.LeastAngle(x, y, 40, given=d).run(5)
+    assert [a - 1 for a in whole.actions] == [i if kind == "real" else 20 + i for kind, i, _ in race.entries]
+
+
+def test_lasso_paths_meet_their_conditions_and_drop():
+    from fdrspark.plans.explicit import TerminatingPath, by_null_count
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 6))
+    x = np.column_stack([base, base @ rng.standard_normal((6, 10)) + 0.3 * rng.standard_normal((40, 10)), base[:, 0]])  # strong ties and a copy
+    x -= x.mean(0)
+    x /= np.linalg.norm(x, axis=0)
+    y = base @ rng.standard_normal(6)
+    y -= y.mean()
+    path = TerminatingPath(x, kernels.explicit_null(40, 10, "gaussian", 1), y, lasso=True).run(0, early_stop=False)
+    assert any(a < 0 for a in path.actions) and path.status == "done"
+    assert all(a >= b - 1e-9 for a, b in zip(path.rss, path.rss[1:], strict=False))
+    for b in path.path[1:-1]:
+        c = path.z.T @ (path.y - path.z @ b)
+        top = np.abs(c).max()
+        on = np.flatnonzero(np.abs(b) > 1e-9)
+        assert np.allclose(np.abs(c[on]), top, atol=1e-6) and (np.sign(c[on]) == np.sign(b[on])).all()
+    assert 0 in by_null_count(path)
+
+
+def test_a_score_hook_takes_the_place_of_the_residual():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((50, 8))
+    x -= x.mean(0)
+    x /= np.linalg.norm(x, axis=0)
+    y = x[:, 2] * 3 - x[:, 5] * 2 + 0.01 * rng.standard_normal(50)
+    y -= y.mean()
+    plain = kernels.make("omp", x, y, 20, seed=1).run(1)
+    hooked = kernels.make("omp", x, y, 20, seed=1, hook=lambda y, fit: y - fit).run(1)
+    assert hooked.entries[:2] == plain.entries[:2] == [("real", 2, 0), ("real", 5, 0)]
+    robust = kernels.make("afs", x, y, 20, seed=1, rho=0.5, hook=lambda y, fit: np.sign(y - fit)).run(1)
+    assert ("real", 2, 0) in robust.entries
+    with pytest.raises(ValueError):
+        kernels.make("lars", x, y, 20, hook=lambda y, fit: y)

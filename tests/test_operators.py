@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -94,7 +95,7 @@ def test_early_stop_agrees_with_a_loop(spark):
     x, y, _ = studies.problem(6, 0, 80, 40, 4, 3.0)
     o = selector.Options(target=0.2, experiments=10, l_factor=5, mode="calibrate_t", stride=2, max_stale=2, t_stop=12, seed=1)
     s = selector.select(spark, long(spark, x), response(spark, y), o)
-    full = selector.select(spark, long(spark, x), response(spark, y), selector.with_options(o, posthoc=True))
+    full = selector.select(spark, long(spark, x), response(spark, y), replace(o, posthoc=True))
     top = {r["t"]: r["fdp_hat"] for r in full.surface.filter("v_idx = 5").collect()}
     above = {r["t"]: r["n"] for r in full.votes.filter("phi > 0.5").groupBy("t").agg(F.count("*").alias("n")).collect()}
     prev = stale = 0
@@ -166,3 +167,93 @@ def test_distances(spark):
     assert summaries.ks_normal(d).first()["ks"] < 0.08
     assert summaries.w1_normal(d).first()["w1"] < 0.15
     assert summaries.ks_normal(d.limit(10)).first()["ks"] is None
+
+
+def _planted(n=120, p=30, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, p))
+    x -= x.mean(0)
+    x /= np.linalg.norm(x, axis=0)
+    y = x[:, :4] @ np.array([5.0, -5, 4, 4]) + rng.standard_normal(n) * 0.3
+    return x, y - y.mean()
+
+
+def test_selection_is_the_same_with_the_matrix_distributed(spark, monkeypatch):
+    x, y = _planted()
+    for o in (selector.Options(target=0.2, experiments=6, l_factor=3, mode="calibrate_t", stride=2, max_stale=2, t_stop=8, seed=2), selector.Options(target=0.2, experiments=6, seed=2, t_stop=3)):
+        got = []
+        for most in (1 << 30, 0):
+            monkeypatch.setattr(selector, "LOCAL_BYTES", most)
+            s = selector.select(spark, long(spark, x), response(spark, y), o)
+            got.append((s.t_explored, s.n_dummies, sorted((r["j"], round(r["phi"], 9)) for r in s.selected.collect())))
+        assert got[0] == got[1] and {0, 1, 2, 3} <= {j for j, _ in got[0][2]}
+    with pytest.raises(ValueError, match="omp"):
+        selector.select(spark, long(spark, x), response(spark, y), replace(o, solver="omp"))
+    f = design.feature_major(long(spark, x))
+    with pytest.raises(RuntimeError, match="max_rounds"):
+        block.block_races(spark, f, y, 30, 60, 5, 2, max_rounds=2)
+
+
+def test_races_go_on_from_their_states(spark):
+    x, y = _planted()
+    for solver in ("lars", "omp", "afs", "afs_logistic"):
+        o = selector.Options(experiments=3, solver=solver, seed=4, rho=0.5)
+        at_once = selector.races(spark, x, y, 60, 5, o)
+        first = selector.races(spark, x, y, 60, 2, o)
+        then = selector.races(spark, x, y, 60, 5, o, saved=first)
+        rows = lambda d: sorted(map(tuple, selector.entries_of(d).drop("status").collect()))
+        assert rows(then) == rows(at_once) and len(rows(first)) < len(rows(then))
+
+
+def test_t_tail_and_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from fdrspark.functions import tails
+
+    rows = [(float(t), df) for t in (0.0, 0.3, 1.0, 1.96, 3.0, 6.0) for df in (5, 10, 98, 1000)]
+    got = spark.createDataFrame(rows, "t double, df int").select("t", "df", tails.t_two_sided_column(F.col("t"), F.col("df")).alias("p")).collect()
+    assert all(abs(r["p"] - tails.t_two_sided(r["t"], r["df"])[0]) < 3e-5 if r["df"] == 5 else abs(r["p"] - tails.t_two_sided(r["t"], r["df"])[0]) < 1e-6 for r in got)
+    ps = [1e-6, 0.001, 0.02, 0.024, 0.3, 0.5, 0.9, 0.98, 0.9999]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", tails.normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(abs(r["z"] - NormalDist().inv_cdf(r["p"])) < 1e-7 for r in got)
+
+
+def test_column_p_values_by_their_kind(spark):
+    """A full regression for many rows, trend tests for a binary response, t tests else; streams give the same sums."""
+    from fdrspark.plans import rivals
+
+    x, y = _planted(n=100, p=20)
+    got = {r["j"]: r["p"] for r in rivals.p_values(spark, long(spark, x), response(spark, y)).collect()}
+    assert np.allclose([got[j] for j in range(20)], rivals.ols_p(x, y, True), atol=1e-9)
+    wide = long(spark, x[:30])
+    stats = marginal.with_p(marginal.marginal_regression(wide, response(spark, y[:30])), "t", "df")
+    want = {r["j"]: round(r["p"], 9) for r in stats.collect()}
+    for streamed in (False, True):
+        assert {r["j"]: round(r["p"], 9) for r in rivals.p_values(spark, wide, response(spark, y[:30]), streamed).collect()} == want
+    cases = response(spark, (y[:30] > 0).astype(float))
+    z = {r["j"]: round(r["p"], 9) for r in marginal.with_p(marginal.trend_test(wide.withColumnRenamed("x", "g"), cases), "z").collect()}
+    for streamed in (False, True):
+        assert {r["j"]: round(r["p"], 9) for r in rivals.p_values(spark, wide, cases, streamed).collect()} == z
+
+
+def test_knockoffs_select_the_planted_columns(spark):
+    from fdrspark.plans import rivals
+
+    x, y = _planted(n=300, p=30)
+    for name in ("ko_gaussian", "ko_hd", "bh_hd", "by_hd"):
+        got = {r["j"] for r in rivals.run(spark, long(spark, x), response(spark, y), name, alpha=0.3, seed=1).collect()}
+        assert {0, 1, 2, 3} <= got and len(got) <= 12, name
+    got = {r["j"] for r in rivals.run(spark, long(spark, x * np.sqrt(300)), response(spark, y), "ko_id", alpha=0.3, seed=1).collect()}
+    assert {0, 1, 2, 3} <= got
+
+
+def test_accessors_and_the_table_function(spark):
+    from fdrspark.plans import tables
+
+    x, y = _planted()
+    race = kernels.make("lars", x, y, 60, seed=5).run(3)
+    t = tables.accessor_tables(spark, race)
+    assert t["summary"].first()["num_realized"] == 3 and t["products"].count() == 90 and t["entries"].count() == len(race.entries)
+    tables.register_races(spark, "races_here", x, y, seed=5)
+    got = [(r["kind"], r["idx"], r["t0"]) for r in spark.sql("SELECT * FROM races_here(0, 60, 3) ORDER BY pos").collect()]
+    assert got == race.entries
