@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fdrspark.functions.columns import present, with_scalars
 from fdrspark.functions.rng import unit
+from fdrspark.functions.tails import normal_two_sided
 from fdrspark.operators.marginal import global_rank
 
 EPS = 1e-12
@@ -33,6 +34,20 @@ def standardise_guarded(long: DataFrame, eps: float = EPS) -> DataFrame:
     return s.select("j", "mean", F.when(low, eps * F.sqrt("n")).otherwise(F.col("norm")).alias("norm"), low.alias("dropped"))
 
 
+def preprocess(long: DataFrame, eps: float = EPS) -> tuple[DataFrame, DataFrame]:
+    """(row_id, j, x) centred and scaled, without near-constant columns, and the model (j, mean, norm, dropped) that undoes it."""
+    model = standardise_guarded(long, eps)
+    kept = long.join(model.filter("NOT dropped"), "j")
+    return kept.select("row_id", "j", ((F.col("x") - F.col("mean")) / F.col("norm")).alias("x")), model
+
+
+def restore(long: DataFrame, model: DataFrame) -> DataFrame:
+    """(row_id, j, x) as before ``preprocess``; a dropped column is its mean in each row."""
+    back = long.join(model.filter("NOT dropped"), "j").select("row_id", "j", (F.col("x") * F.col("norm") + F.col("mean")).alias("x"))
+    gone = long.select("row_id").distinct().crossJoin(F.broadcast(model.filter("dropped").select("j", F.col("mean").alias("x"))))
+    return back.unionByName(gone.select("row_id", "j", "x"))
+
+
 def center(df: DataFrame, column: str) -> DataFrame:
     m = df.agg(F.avg(column).alias("_m"))
     return with_scalars(df, m).withColumn(column, F.col(column) - F.col("_m")).drop("_m")
@@ -77,7 +92,7 @@ def relative_risk(g: Column, h: float, risk_allele: int = 1) -> Column:
 
 
 def quality_control(dosages: DataFrame, n_rows: int | Column, maf: float = 0.01, call_rate: float = 0.95, hwe_chi2: float = 23.928) -> DataFrame:
-    """(j, maf, call_rate, hwe_chi2, passes) of (j, g), g null where not called; the default chi2 bound is p = 1e-6 at 1 df."""
+    """(j, maf, call_rate, hwe_chi2, hwe_p, passes) of (j, g), g null where not called; the default chi2 bound is p = 1e-6 at 1 df."""
     g = F.col("g")
     s = dosages.groupBy("j").agg(F.count("g").alias("n"), F.sum(g).alias("s"), *[F.sum((g == k).cast("long")).alias(f"n{k}") for k in range(3)])
     q = F.col("s") / (2.0 * F.col("n"))
@@ -85,9 +100,17 @@ def quality_control(dosages: DataFrame, n_rows: int | Column, maf: float = 0.01,
     chi2 = sum((F.when(e > 0, (F.col(f"n{k}") - e) * (F.col(f"n{k}") - e) / e).otherwise(0.0) for k, e in enumerate(expected)), F.lit(0.0))
     n_rows = n_rows if isinstance(n_rows, Column) else F.lit(n_rows)
     out = s.select("j", F.least(q, 1 - q).alias("maf"), (F.col("n") / n_rows).alias("call_rate"), chi2.alias("hwe_chi2"))
+    out = out.withColumn("hwe_p", normal_two_sided(F.sqrt("hwe_chi2")))  # one degree of freedom
     return out.withColumn("passes", (F.col("maf") >= maf) & (F.col("call_rate") >= call_rate) & (F.col("hwe_chi2") <= hwe_chi2))
 
 
+def how_many(spec: int | str, n: int) -> int:
+    """A number of runs out of n: a count as it stands, or a share like "0.5" or "1e-1", rounded down; 1 at least, n at most."""
+    text = str(spec).strip()
+    k = int(text) if text.lstrip("+-").isdigit() else int(float(text) * n + 1e-9)
+    return max(1, min(k, n))
+
+
 def pick(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows drawn without replacement by hash order; a top-k, so no row travels that can't win."""
     return df.withColumn("_u", unit(seed, F.col(key))).orderBy("_u", key).limit(k).drop("_u")

@@ -14,6 +14,7 @@ from fdrspark.operators import pool as pools
 from fdrspark.operators import votes as V
 from fdrspark.plans import block, explicit, kernels, rivals, selector, studies, tables
 from fdrspark.sources import fixtures as fx
+from fdrspark.sources import matrix_files
 from fdrspark.streaming import sums as streams
 
 QUERIES, SQL = {}, {}
@@ -54,6 +55,36 @@ def standardize_guarded(spark, sf):
     return design.standardise_guarded(fx.embedding_long(spark, sf)).select("j", r6("mean").alias("mean"), r6("norm").alias("norm"), "dropped")
 
 
+@query(f"WITH {fx.X_SQL}, xz AS (SELECT row_id, j, CASE WHEN j = 7 THEN 2.5::DOUBLE ELSE x END AS x FROM x), m AS (SELECT j, avg(x) AS m, sqrt(count(*) * var_pop(x)) AS n FROM xz GROUP BY j) SELECT row_id, j, {R('(x - m) / n')} AS x FROM xz JOIN m USING (j) WHERE j <> 7")
+def preprocess_drop(spark, sf):
+    """A column that doesn't vary is dropped, the others are standardised."""
+    return design.preprocess(_flat_column(spark, sf))[0].select("row_id", "j", r6("x").alias("x"))
+
+
+@query(f"WITH {fx.X_SQL} SELECT row_id, j, {R('CASE WHEN j = 7 THEN 2.5::DOUBLE ELSE x END')} AS x FROM x")
+def preprocess_restore(spark, sf):
+    """Standardising undone, with the dropped column in its place."""
+    return design.restore(*design.preprocess(_flat_column(spark, sf))).select("row_id", "j", r6("x").alias("x"))
+
+
+def _flat_column(spark, sf):
+    return fx.embedding_long(spark, sf).withColumn("x", F.when(F.col("j") == 7, 2.5).otherwise(F.col("x")))
+
+
+@query(f"SELECT p_partkey FROM part ORDER BY {unit_sql(7, 'p_partkey')}, p_partkey LIMIT (SELECT greatest(1, floor(count(*) * 0.125)::BIGINT) FROM part)")
+def run_subsample_share(spark, sf):
+    """A share of the runs, given as text."""
+    part = fx.table(spark, sf, "part").select("p_partkey")
+    return design.pick(part, "p_partkey", design.how_many("1.25e-1", part.count()), 7)
+
+
+@query("SELECT j, i::INT AS i, x FROM (SELECT unnest(range(64))::INT AS j, vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) e JOIN (SELECT unnest([5, 0, 3]) AS vec_id, unnest(range(3)) AS i) r USING (vec_id) WHERE j IN (2, 9)")
+def row_column_gather(spark, sf):
+    """Three rows, in the order asked for, of two columns."""
+    f = design.feature_major(fx.embedding_long(spark, sf).filter("row_id < 10"))
+    return matrix_files.gather(f, [5, 0, 3], [2, 9]).select("j", F.posexplode("x").alias("i", "x"))
+
+
 @query(f"SELECT o_orderkey, {R('o_totalprice - (SELECT avg(o_totalprice) FROM orders)')} AS y FROM orders")
 def center_y(spark, sf):
     return design.center(fx.table(spark, sf, "orders"), "o_totalprice").select("o_orderkey", r6("o_totalprice").alias("y"))
@@ -142,11 +173,11 @@ _E = ["n * (1 - q) * (1 - q)", "2 * n * q * (1 - q)", "n * q * q"]
 @query(f"""WITH g AS ({G_SQL}), n AS (SELECT count(DISTINCT row_id) AS nr FROM g),
 s AS (SELECT j, count(g) AS n, sum(g) / (2.0::DOUBLE * count(g)) AS q, sum((g = 0)::INT) AS n0, sum((g = 1)::INT) AS n1, sum((g = 2)::INT) AS n2 FROM g GROUP BY j),
 m AS (SELECT j, least(q, 1 - q) AS maf, n::DOUBLE / nr AS call_rate, {' + '.join(f'(CASE WHEN {e} > 0 THEN (n{k} - {e}) * (n{k} - {e}) / ({e}) ELSE 0 END)' for k, e in enumerate(_E))} AS hwe_chi2 FROM s, n)
-SELECT j, {R('maf')} AS maf, {R('call_rate')} AS call_rate, {R('hwe_chi2')} AS hwe_chi2, maf >= 0.01 AND call_rate >= 0.3 AND hwe_chi2 <= 23.928 AS passes FROM m""")
+SELECT j, {R('maf')} AS maf, {R('call_rate')} AS call_rate, {R('hwe_chi2')} AS hwe_chi2, {R(normal_two_sided_sql('sqrt(hwe_chi2)'))} AS hwe_p, maf >= 0.01 AND call_rate >= 0.3 AND hwe_chi2 <= 23.928 AS passes FROM m""")
 def maf_callrate_qc(spark, sf):
     g = _dosages(spark, sf)
     n = g.agg(F.count_distinct("row_id").alias("n")).first()["n"]
-    return design.quality_control(g, n, call_rate=0.3).select("j", r6("maf").alias("maf"), r6("call_rate").alias("call_rate"), r6("hwe_chi2").alias("hwe_chi2"), "passes")
+    return design.quality_control(g, n, call_rate=0.3).select("j", r6("maf").alias("maf"), r6("call_rate").alias("call_rate"), r6("hwe_chi2").alias("hwe_chi2"), r6("hwe_p").alias("hwe_p"), "passes")
 
 
 @query("SELECT o_orderkey, least(greatest(round_even(o_totalprice / 100000.0::DOUBLE, 0), 0), 2)::DOUBLE AS g FROM orders")

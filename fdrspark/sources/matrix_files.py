@@ -7,6 +7,7 @@ import os
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Columns that a task reads at a time; the environment can set another number.
 BLOCK_COLUMNS = int(os.environ.get("FDRSPARK_BLOCK_COLUMNS", 8192))
@@ -68,16 +69,38 @@ def read_matrix(spark: SparkSession, path: str, n_rows: int, n_cols: int, column
     return at.mapInArrow(run, "j int, x array<double>")
 
 
-def load(spark: SparkSession, folder: str, n_rows: int, n_cols: int, columns: list[int] | None = None) -> tuple[DataFrame, str]:
-    """(features, load_mode) from a folder: standardised file, else raw file, else npz; an error if there is none."""
+def standardised(features: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """(j, x array) with each column centred and of unit length; constant columns become 0. Columns stay where they are."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    centred = features.withColumn("_m", total("x") / F.size("x")).select("j", F.transform("x", lambda v: v - F.col("_m")).alias("x"))
+    length = F.greatest(F.sqrt(total(F.transform("x", lambda v: v * v))), F.lit(eps))
+    return centred.withColumn("_l", length).select("j", F.transform("x", lambda v: v / F.col("_l")).alias("x"))
+
+
+def gather(features: DataFrame, rows: list[int] | None = None, columns: list[int] | None = None) -> DataFrame:
+    """(j, x array): the asked columns, and of each the asked rows in their order."""
+    d = features if columns is None else features.filter(F.col("j").isin(list(columns)))
+    if rows is None:
+        return d
+    at = F.array(*[F.lit(int(r)) for r in rows])
+    return d.select("j", F.transform(at, lambda r: F.get("x", r)).alias("x"))
+
+
+def load(spark: SparkSession, folder: str, n_rows: int, n_cols: int, columns: list[int] | None = None, standardise: bool = False) -> tuple[DataFrame, str]:
+    """(features, load_mode) from a folder: standardised file, else raw file, else npz; an error if there is none.
+
+    With ``standardise`` raw columns are standardised on the way.
+    """
+    finish = standardised if standardise else lambda d: d
     for name, mode in (("X_std.dat", "standardised"), ("X_raw.dat", "raw")):
         if os.path.exists(f"{folder}/{name}"):
-            return read_matrix(spark, f"{folder}/{name}", n_rows, n_cols, columns), mode
+            d = read_matrix(spark, f"{folder}/{name}", n_rows, n_cols, columns)
+            return (d if mode == "standardised" else finish(d)), mode
     if os.path.exists(f"{folder}/X.npz"):
         z = np.load(f"{folder}/X.npz")
         x = z["X"] if "X" in z else z["X_raw"]
         rows = [(j, x[:, j].astype(float).tolist()) for j in (columns or range(x.shape[1]))]
-        return spark.createDataFrame(rows, "j int, x array<double>"), "npz"
+        return finish(spark.createDataFrame(rows, "j int, x array<double>")), "npz"
     raise FileNotFoundError(f"{folder} has neither X_std.dat, X_raw.dat nor X.npz")
 
 

@@ -19,10 +19,10 @@ def samples(path: str) -> list[str]:
         return [line.split()[1] for line in f if line.strip()]
 
 
-def variants(path: str) -> list[tuple[str, str, int]]:
-    """(chromosome, name, position)"""
+def variants(path: str) -> list[tuple[str, str, int, str, str]]:
+    """(chromosome, name, position, first allele, second allele)"""
     with open(path + ".bim") as f:
-        return [(c[0], c[1], int(c[3])) for line in f if (c := line.split())]
+        return [(c[0], c[1], int(c[3]), c[4], c[5]) for line in f if (c := line.split())]
 
 
 def decode(data: bytes, n: int) -> np.ndarray:
@@ -58,18 +58,18 @@ class _Reader(DataSourceReader):
                 js = range(part.first + lo, part.first + min(lo + 256, part.count))
                 g = [decode(f.read(stride), self.n).astype(float) for _ in js]
                 rows = [[None if v < 0 else float(v) for v in x] for x in g]
-                yield pa.RecordBatch.from_arrays([pa.array(list(js), pa.int32()), pa.array([self.names[j][0] for j in js]), pa.array([self.names[j][1] for j in js]), pa.array(rows, pa.list_(pa.float64()))], names=["j", "chrom", "sid", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(js), pa.int32()), *[pa.array([self.names[j][k] for j in js], pa.int64() if k == 2 else pa.string()) for k in range(5)], pa.array(rows, pa.list_(pa.float64()))], names=["j", "chrom", "sid", "pos", "a1", "a2", "g"])
 
 
 class PlinkSource(DataSource):
-    """spark.read.format("plink").load(prefix): (j, chrom, sid, g array<double>), null where not called."""
+    """spark.read.format("plink").load(prefix): (j, chrom, sid, pos, a1, a2, g array<double>), g counting a1, null where not called."""
 
     @classmethod
     def name(cls) -> str:
         return "plink"
 
     def schema(self) -> str:
-        return "j int, chrom string, sid string, g array<double>"
+        return "j int, chrom string, sid string, pos long, a1 string, a2 string, g array<double>"
 
     def reader(self, schema):
         return _Reader(self.options["path"], int(self.options.get("block", 4096)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,13 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, glob: str) -> DataFrame:
-    """JSON objects of all files; run and method come from names like run_3_bh.json, and what can't be parsed is left out."""
-    d = spark.read.option("mode", "DROPMALFORMED").json(glob).withColumn("_f", F.input_file_name())
+    """JSON objects of all files; run and method come from names like run_3_bh.json; what can't be parsed is left out, with a warning that names the files."""
+    kept = spark.read.option("mode", "DROPMALFORMED").json(glob)
+    bad = spark.read.text(glob).select("value", F.input_file_name().alias("f")).filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    names = [r["f"] for r in bad.select("f").distinct().limit(20).collect()]
+    if names:
+        warnings.warn(f"lines that can't be read in {', '.join(sorted(names))}", stacklevel=2)
+    d = kept.withColumn("_f", F.input_file_name())
     return d.withColumn("run", F.regexp_extract("_f", r"run_(\d+)_", 1).cast("int")).withColumn("method", F.regexp_extract("_f", r"run_\d+_(\w+)\.json", 1)).drop("_f")
 
 

@@ -257,3 +257,33 @@ def test_accessors_and_the_table_function(spark):
     tables.register_races(spark, "races_here", x, y, seed=5)
     got = [(r["kind"], r["idx"], r["t0"]) for r in spark.sql("SELECT * FROM races_here(0, 60, 3) ORDER BY pos").collect()]
     assert got == race.entries
+
+
+def test_sources_of_responses_and_parts_of_matrices(spark, tmp_path):
+    from fdrspark.sources import responses
+
+    a = np.arange(12.0).reshape(4, 3) ** 2
+    matrix_files.write_matrix(str(tmp_path / "X_raw.dat"), a)
+    d, mode = matrix_files.load(spark, str(tmp_path), 4, 3, standardise=True)
+    got = np.array([r["x"] for r in d.orderBy("j").collect()]).T
+    c = a - a.mean(0)
+    assert mode == "raw" and np.allclose(got, c / np.linalg.norm(c, axis=0))
+    raw = matrix_files.load(spark, str(tmp_path), 4, 3)[0]
+    got = {r["j"]: r["x"] for r in matrix_files.gather(raw, [3, 0], [2]).collect()}
+    assert got == {2: [a[3, 2], a[0, 2]]}
+    np.savez(tmp_path / "pheno_run_5.npz", y=np.arange(4.0), causal_idx=np.array([1]), X_raw=a)
+    y, truth, own = responses.load_response(spark, str(tmp_path), 5)
+    assert y.count() == 4 and truth.first()["j"] == 1 and own.count() == 3
+    assert responses.write_response(spark, str(tmp_path), 2, y, truth) and not responses.write_response(spark, str(tmp_path), 2, y, truth)
+    y, truth, own = responses.load_response(spark, str(tmp_path), 2)
+    assert y.count() == 4 and truth.count() == 1 and own is None
+    with pytest.raises(FileNotFoundError):
+        responses.load_response(spark, str(tmp_path / "none"), 1)
+    assert [design.how_many(s, 10) for s in (3, "3", "0.5", "1e-1", "0.01", "99")] == [3, 3, 5, 1, 1, 10]
+
+
+def test_unreadable_results_are_named(spark, tmp_path):
+    (tmp_path / "run_1_bh.json").write_text('{"fdp": 0.5}')
+    (tmp_path / "run_2_bh.json").write_text('{"fdp": ')
+    with pytest.warns(UserWarning, match="run_2_bh"):
+        assert results.read_results(spark, f"{tmp_path}/*.json").count() == 1
