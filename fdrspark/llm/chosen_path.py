@@ -20,8 +20,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TOKENS = 64
 #: Tokens that a set is expected to choose at each node of each run.
 CHOICES = 2.5
-#: Nodes of up to so many sets are compared all by all; larger ones are split, at most DEPTH times, then dealt in blocks of that size.
-LEAF, DEPTH = 4000, 5
+#: Nodes of up to LEAF sets are compared all by all, those of more than TASK sets in pairs of blocks, so that no task has more; larger nodes are split, at most DEPTH times, then dealt in blocks as well.
+LEAF, DEPTH, TASK = 4000, 5, 1000
 #: Distinct sets of a candidate class, and bytes of them, that make a block; larger classes are dealt in pairs of blocks, so that a set is sent once for each block of its class.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _FACTORS = mix(np.arange(TOKENS, dtype=np.uint64), 11) | np.uint64(1)
@@ -266,16 +266,15 @@ def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, recall: float
         many = stored(paths.groupBy(F.col("node").alias("node2")).agg(F.count("*").alias("n")).filter("n > 1"), f"many{level}")
         met = join_split(paths, many, "node", "node2", hot_keys(many, "node2", "n"), ["fp"]).select("node", "n", "fp").dropDuplicates(["node", "fp"])
         met = stored(met.join(nodes, "fp").select("node", "n", "fp", "size", "tokens"), f"met{level}")
-        small = met.filter(F.col("n") <= leaf).withColumn("side", F.lit(0))
-        found.append(stored(_near_pairs(small, least, threshold), f"near{level}"))
+        task = min(TASK, leaf)
+        small = met.filter(F.col("n") <= task).withColumn("side", F.lit(0)).select("node", "side", "fp", "size", "tokens")
+        dealt = _block_pairs(met.filter((F.col("n") > task) & (F.lit(level == depth) | (F.col("n") <= leaf))), "node", F.ceil(F.col("n") / F.lit(max(1, task // 2))))
+        dealt = dealt.drop("node").withColumnRenamed("pair", "node").select("node", "side", "fp", "size", "tokens")
+        found.append(stored(_near_pairs(small.unionByName(dealt), least, threshold), f"near{level}"))
         large = met.filter(F.col("n") > leaf)
-        if large.isEmpty():
+        if level == depth or large.isEmpty():
             break
-        if level == depth:
-            dealt = _block_pairs(large, "node", F.ceil(F.col("n") / F.lit(leaf // 2))).drop("node").withColumnRenamed("pair", "node")
-            found.append(stored(_near_pairs(dealt, least, threshold), "near_blocks"))
-        else:
-            paths = _paths(large.select("node", "fp", "tokens"), choices, 1)
+        paths = _paths(large.select("node", "fp", "tokens"), choices, 1)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
