@@ -29,13 +29,14 @@ def test_flagship_finds_something(spark):
     assert E.entry(spark).count() > 0
 
 
-def test_entry_without_llm(tmp_path):
+@pytest.mark.parametrize("gone", ["fdrspark.llm corpus_pipeline", "public_tokenizers", "zstandard"])
+def test_entry_without_llm(tmp_path, gone):
     code = f"""
 import sys, importlib.abc
 sys.path.insert(0, {str(ROOT)!r})
 class Gone(importlib.abc.MetaPathFinder):
     def find_spec(self, name, path=None, target=None):
-        if name.startswith("fdrspark.llm") or name == "corpus_pipeline":
+        if name.startswith(tuple({gone.split()!r})):
             raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as E
