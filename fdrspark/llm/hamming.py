@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from functools import lru_cache
 from itertools import combinations
 
@@ -10,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import stored, table
+from fdrspark.llm.common import hot_keys, join_split, stored, table, trimmed
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
-#: Rows of the index that one table of segments holds, and query codes that travel in one row.
-BLOCK, PACK = 50_000, 512
+BITS = 64
 K = 10
+#: Fewest and most segments. There are as many as make a segment's values about as many as the codes.
+FEWEST, MOST = 2, 8
+#: Probes that one batch carries.
+PROBES = 1 << 18
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -26,110 +29,112 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 @lru_cache(maxsize=None)
-def flips(radius: int) -> np.ndarray:
-    """All segment values with ``radius`` bits set."""
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)], np.int64)
-
-
-class SegmentTables:
-    """The codes of a block, listed by the value of each of their segments."""
-
-    def __init__(self, codes: np.ndarray, ids: np.ndarray):
-        self.codes, self.ids = codes, ids
-        self.lists = []
-        for j in range(SEGMENTS):
-            value = ((codes >> np.uint64(j * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
-            order = np.argsort(value, kind="stable")
-            self.lists.append((order, np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << WIDTH))])))
-
-    def top(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the k nearest codes, ties by id.
-
-        Segment radii grow one segment at a time. When segments 0..j were probed
-        at radius s and the others at s - 1, every code within SEGMENTS * s + j
-        was met, for one farther off in all segments has a larger distance. So
-        the search ends once the k-th verified distance is no more than that.
-        """
-        q = np.uint64(query)
-        met = np.zeros(len(self.codes), bool)
-        found = np.zeros(0, np.int64)
-        distance = np.zeros(0, np.int64)
-        for s in range(WIDTH + 1):
-            for j in range(SEGMENTS):
-                order, first = self.lists[j]
-                probes = flips(s) ^ int((query >> (j * WIDTH)) & ((1 << WIDTH) - 1))
-                a, n = first[probes], first[probes + 1] - first[probes]
-                total = int(n.sum())
-                if total:
-                    stop = np.cumsum(n)
-                    rows = order[np.arange(total) - np.repeat(stop - n, n) + np.repeat(a, n)]
-                    rows = rows[~met[rows]]
-                    met[rows] = True
-                    found = np.concatenate([found, rows])
-                    distance = np.concatenate([distance, np.bitwise_count(self.codes[rows] ^ q).astype(np.int64)])
-                if len(found) == len(self.codes):
-                    break
-                if len(found) >= k and np.partition(distance, k - 1)[k - 1] <= SEGMENTS * s + j:
-                    break
-            else:
-                continue
-            break
-        best = np.lexsort((self.ids[found], distance))[:k]
-        return self.ids[found][best], distance[best]
+def flips(width: int, radius: int) -> np.ndarray:
+    """All values of a segment of ``width`` bits with ``radius`` bits set."""
+    return np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.uint64)
+
+
+def segments_of(n_codes: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments for an index of so many codes."""
+    m = min(MOST, max(FEWEST, round(bits / max(8.0, math.log2(max(2, n_codes))))))
+    edges = [bits * j // m for j in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _bucket(code: Column, j: int, first: int, width: int) -> Column:
+    """Name of the bucket of codes that share segment j's value."""
+    value = F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
+    return F.xxhash64(F.lit(j), value)
+
 
+def _segment_distance(a: Column, b: Column, first: int, width: int) -> Column:
+    return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), first).bitwiseAND(F.lit((1 << width) - 1)))
+
+
+def _probes(asked: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(j, value, q): for each query code q and segment j, the values at ``radius`` bits from its own."""
+
+    def run(batches):
+        for batch in batches:
+            codes = batch.column(0).to_numpy().view(np.uint64)
+            for j, (first, width) in enumerate(segments):
+                flip = flips(width, radius)
+                if not len(flip):
+                    continue
+                own = (codes >> np.uint64(first)) & np.uint64((1 << width) - 1)
+                step = max(1, PROBES // len(flip))
+                for lo in range(0, len(codes), step):
+                    values = (own[lo : lo + step, None] ^ flip[None, :]).ravel()
+                    q = np.repeat(codes[lo : lo + step], len(flip)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), j, np.int32)), pa.array(values.view(np.int64)), pa.array(q)], names=["j", "value", "q"])
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "id", code_col: str = "code", block: int = BLOCK) -> DataFrame:
+    return asked.select("q").mapInArrow(trimmed(run), "j int, value long, q long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k codes of least (distance, least id) of each query."""
+    order = Window.partitionBy("q").orderBy("distance", "least", "code")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "id", code_col: str = "code") -> DataFrame:
     """(query_id, rank, id, distance): the k rows of the index nearest to each query by Hamming distance, ties by id.
 
     index and queries have an id and a 64-bit code; rows without either are left
     out. All rows of the index take part, the query's own among them. Of equal
     codes only the k least ids can be in a result, so no more of them go on, and
-    equal query codes are searched once. The index is dealt into blocks of about
-    ``block`` rows with segment tables of their own; packs of query codes visit
-    every block, and a query's results of all blocks are merged. An index of
-    fewer than k rows gives fewer; an empty one none. Repeated ids are rows of
-    their own.
+    equal query codes are searched once. An index of fewer than k rows gives
+    fewer; an empty one none. Repeated ids are rows of their own.
+
+    One table lists the codes by the value of each of their segments. In round s
+    queries look up the values at s bits from theirs in each segment, and verify the
+    codes that they meet on all bits. A code is taken where it is met for the first
+    time, in the order of rounds and segments. After round s every code within
+    m * (s + 1) - 1 bits was met, for one farther off has s + 1 bits or more in
+    each of the m segments; a query ends once its k-th distance is no more than
+    that. Buckets of very many codes are dealt over tasks. A segment has about as
+    many values as there are codes, which bounds a query's lookups.
     """
     rows = index.select(F.col(code_col).alias("code"), F.col(id_col).cast("long").alias("id")).filter("code IS NOT NULL AND id IS NOT NULL")
-    asked = queries.select(F.col(code_col).alias("code"), F.col(id_col).cast("long").alias("query_id")).filter("code IS NOT NULL AND query_id IS NOT NULL")
+    asked = queries.select(F.col(code_col).alias("q"), F.col(id_col).cast("long").alias("query_id")).filter("q IS NOT NULL AND query_id IS NOT NULL")
     same = Window.partitionBy("code").orderBy("id")
     rows = stored(rows.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k).drop("n"), "index")
-    codes = stored(asked.select("code").distinct(), "query_codes")
-    blocks = max(1, -(-rows.count() // block))
-    packs = max(1, -(-codes.count() // PACK))
-    kind = "block int, kind int, id long, code long, pack array<bigint>"
-    entries = rows.select(F.pmod(F.xxhash64("id", "code"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "code", F.lit(None).cast("array<bigint>").alias("pack"))
-    packed = codes.groupBy(F.pmod(F.xxhash64("code"), F.lit(packs)).alias("p")).agg(F.collect_list("code").alias("pack"))
-    visits = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("code"), "pack")
-
-    def run(batches):
-        at, kept, tables = None, [], None
-        for batch in batches:
-            b, t, i, c = (batch.column(n).to_numpy(zero_copy_only=False) for n in range(4))
-            cuts = [0, *(np.flatnonzero((b[1:] != b[:-1]) | (t[1:] != t[:-1])) + 1), len(b)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if b[lo] != at:
-                    at, kept, tables = b[lo], [], None
-                if t[lo] == 0:
-                    kept.append((c[lo:hi].astype(np.int64).view(np.uint64), i[lo:hi].astype(np.int64)))
-                    continue
-                if not kept:
-                    continue
-                if tables is None:
-                    tables = SegmentTables(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-                for pack in batch.column(4).slice(lo, hi - lo).to_pylist():
-                    out = [(q, *tables.top(q & 0xFFFFFFFFFFFFFFFF, k)) for q in pack]
-                    n = [len(x[1]) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in out], np.int64), n)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]).astype(np.int32))], names=["code", "id", "distance"])
-
-    both = entries.unionByName(visits).select(*[f.split()[0] for f in kind.split(", ")])
-    both = both.repartition(blocks, "block").sortWithinPartitions("block", "kind")
-    found = both.mapInArrow(run, "code long, id long, distance int")
-    rank = Window.partitionBy("code").orderBy("distance", "id")
-    best = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-    return asked.join(best, "code").select("query_id", "rank", "id", "distance")
+    codes = stored(rows.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "codes")
+    n_codes = codes.count()
+    segments = segments_of(n_codes)
+    m = len(segments)
+    entry = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _bucket(F.col("code"), j, a, w).alias("bucket")) for j, (a, w) in enumerate(segments)]))
+    entries = stored(codes.select("code", "least", entry.alias("e")).select("e.j", "e.bucket", "code", "least"), "segments")
+    hot = hot_keys(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1000"), "bucket", "n")
+    going = stored(asked.select("q").distinct(), "queries")
+    best = done = None
+    for s in range(max(w for _, w in segments) + 1):
+        if not n_codes or going.isEmpty():
+            break
+        probes = _probes(going, segments, s).withColumn("bucket2", F.xxhash64("j", "value")).withColumnRenamed("j", "j2")
+        met = join_split(entries, probes, "bucket", "bucket2", hot, ["code"], on=lambda a, b: a["j"] == b["j2"])
+        # Met before: in an earlier segment at this radius, or in any at a smaller one.
+        apart = [_segment_distance(F.col("code"), F.col("q"), a, w) for a, w in segments]
+        fresh = [F.when(F.lit(i) < F.col("j"), d > s).when(F.lit(i) > F.col("j"), d >= s).otherwise(d == s) for i, d in enumerate(apart)]
+        new = met.filter(functools.reduce(lambda x, y: x & y, fresh)).select("q", "code", "least", F.bit_count(F.col("code").bitwiseXOR(F.col("q"))).alias("distance"))
+        both = new if best is None else new.unionByName(best.join(going, "q", "left_semi"))
+        best = stored(_best(both, k), f"best{s}")
+        covered = m * (s + 1) - 1
+        ended = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        ended = ended.filter(((F.col("n") >= k) & (F.col("far") <= covered)) | (F.col("n") >= n_codes)).select("q")
+        final = best.join(ended, "q", "left_semi")
+        done = final if done is None else done.unionByName(final)
+        going = stored(going.join(ended, "q", "left_anti"), f"going{s}")
+    if done is None:
+        return asked.select("query_id", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("distance")).limit(0)
+    # A code that is near to very many queries is looked up by them all.
+    found = stored(done.select("q", "code", "distance"), "found")
+    wanted = hot_keys(found.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1000"), "code", "n")
+    each = join_split(found, rows.withColumnRenamed("code", "code2"), "code", "code2", wanted, ["q"])
+    rank = Window.partitionBy("q").orderBy("distance", "id")
+    each = stored(each.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("q", "rank", "id", "distance"), "nearest")
+    again = hot_keys(asked.groupBy("q").agg(F.count("*").alias("n")).filter("n > 1000"), "q", "n")
+    return join_split(asked, each.withColumnRenamed("q", "q2"), "q", "q2", again, ["query_id"]).select("query_id", "rank", "id", "distance")
 
 
 def op5_topk(spark, sf_dir: str) -> DataFrame:

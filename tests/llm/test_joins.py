@@ -202,8 +202,10 @@ def plain_nearest(codes, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block", [10_000, 70])
-def test_nearest_equals_brute_force(spark, block):
+@pytest.mark.parametrize("hot", [1000, 20])
+def test_nearest_equals_brute_force(spark, hot, monkeypatch):
+    if hot < 1000:  # buckets are dealt over tasks
+        monkeypatch.setattr(hamming, "hot_keys", lambda counts, key, n: hot_keys(counts.selectExpr(f"`{key}`", "1001L AS n").unionByName(counts.selectExpr(f"`{key}`", "0L AS n").limit(0)), key, "n"))
     rng = np.random.default_rng(1)
     centres = rng.integers(-(2**63), 2**63 - 1, 6)
     codes = {}
@@ -217,11 +219,26 @@ def test_nearest_equals_brute_force(spark, block):
         codes[i] = codes[300]  # a large group of equal codes
     d = spark.createDataFrame([(i, c) for i, c in codes.items()] + [(None, 5), (999, None)], "id long, code long")
     got = defaultdict(list)
-    for r in hamming.nearest(d, d.filter("id % 20 = 0"), 7, block=block).orderBy("query_id", "rank").collect():
+    for r in hamming.nearest(d, d.filter("id % 20 = 0"), 7).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["id"], r["distance"]))
     assert got == plain_nearest(codes, [i for i in codes if i % 20 == 0], 7)
 
 
+def test_rounds_meet_each_code_once_and_cover_what_they_say():
+    """In the order of rounds and segments a code is fresh exactly once, no later than its distance allows."""
+    rng = np.random.default_rng(7)
+    segments = hamming.segments_of(5000)
+    assert sum(w for _, w in segments) == 64 and [a for a, _ in segments] == [sum(w for _, w in segments[:j]) for j in range(len(segments))]
+    m = len(segments)
+    for _ in range(300):
+        x = int(rng.integers(0, 2**63)) & int(rng.integers(0, 2**63))
+        d = [bin(x >> a & (2**w - 1)).count("1") for a, w in segments]
+        met = [(s, j) for s in range(65) for j in range(m) if d[j] == s and all(e > s for e in d[:j]) and all(e >= s for e in d[j + 1 :])]
+        assert len(met) == 1 and sum(d) >= m * met[0][0]
+    for w in (5, 9):
+        assert sorted(int(v) for s in range(w + 1) for v in hamming.flips(w, s)) == list(range(2**w))
+
+
 def test_nearest_of_few_and_none(spark):
     d = spark.createDataFrame([(1, 0), (2, -1)], "id long, code long")
     assert hamming.nearest(d, d, 5).count() == 4
