@@ -40,6 +40,32 @@ def starts_of(sizes: np.ndarray, window: int) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def shortened(sym: np.ndarray, doc: np.ndarray, kind: str, level: int):
+    """(new symbols, where each symbol went, where each new one begins, half) of a round; half is null for runs.
+
+    A run of a symbol, or a pair whose first symbol falls into one half of all
+    symbols and whose second into the other, becomes one symbol; a symbol alone
+    stays itself.
+    """
+    if kind == "r":
+        fresh = np.ones(len(sym), bool)
+        fresh[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])
+        into, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        long = np.diff(np.append(at, len(sym)))
+        new = sym[at]
+        many = long > 1
+        new[many] = pair_name(new[many], long[many].astype(np.uint64), 500 + level)
+        return new, into, at, None
+    bit = (mix(sym, 700 + level) >> np.uint64(63)).astype(np.int64)
+    joins = np.zeros(len(sym), bool)  # with the symbol before
+    joins[1:] = (bit[:-1] == 0) & (bit[1:] == 1) & (doc[1:] == doc[:-1])
+    into, at = np.cumsum(~joins) - 1, np.flatnonzero(~joins)
+    new = sym[at]
+    second = np.flatnonzero(joins)
+    new[into[second]] = pair_name(sym[second - 1], sym[second], 600)
+    return new, into, at, bit
+
+
 def anchors(names: np.ndarray, sizes: np.ndarray, window: int, rounds: str = ROUNDS):
     """(starts, name, place) of all windows: symbols that any equal window has at the same distance, and where they begin.
 
@@ -84,25 +110,10 @@ def anchors(names: np.ndarray, sizes: np.ndarray, window: int, rounds: str = ROU
         place[which] = pos[best]
 
     for level, kind in enumerate(rounds):
-        if kind == "r":
-            fresh = np.ones(len(sym), bool)
-            fresh[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])
-            into = np.cumsum(fresh) - 1
-            at = np.flatnonzero(fresh)
-            long = np.diff(np.append(at, len(sym)))
-            new = sym[at]
-            many = long > 1
-            new[many] = pair_name(new[many], long[many].astype(np.uint64), 500 + level)
+        new, into, at, bit = shortened(sym, doc, kind, level)
+        if bit is None:
             f, t = into[first] + 1, into[last] - 1
         else:
-            bit = (mix(sym, 700 + level) >> np.uint64(63)).astype(np.int64)
-            joins = np.zeros(len(sym), bool)  # with the symbol before
-            joins[1:] = (bit[:-1] == 0) & (bit[1:] == 1) & (doc[1:] == doc[:-1])
-            into = np.cumsum(~joins) - 1
-            at = np.flatnonzero(~joins)
-            new = sym[at]
-            second = np.flatnonzero(joins)
-            new[into[second]] = pair_name(sym[second - 1], sym[second], 600)
             f, t = into[first] + bit[first], into[last] - 1 + bit[last]
         empty = t - f < SPAN - 1
         if empty.any():
@@ -149,6 +160,33 @@ def _named(batch, column, words_memo):
     return ws, sizes, words_memo.of([w for x in ws for w in x])
 
 
+def name_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: str = ROUNDS) -> DataFrame:
+    """(round, name, a, b): what each name of each round stands for, over all documents: a pair of symbols, or a symbol and its count.
+
+    This is the global table that rounds of naming with tables would build: one
+    row a name if no two things share a name, which the grouping by name shows. The
+    names being hashes of what they name, tasks agree on them without looking the
+    table up, and the rounds need no exchange of symbols.
+    """
+
+    def run(batches):
+        memo = WordNames()
+        for batch in batches:
+            for part in slices(batch, 2):
+                _, sizes, sym = _named(part, 2, memo)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                for level, kind in enumerate(rounds):
+                    new, _, at, bit = shortened(sym, doc, kind, level)
+                    stop = np.append(at[1:], len(sym))
+                    made = np.flatnonzero(stop - at > 1)
+                    b = sym[at[made] + 1] if bit is not None else (stop - at)[made].astype(np.uint64)
+                    table = np.unique(np.stack([new[made], sym[at[made]], b], axis=1), axis=0).view(np.int64) if len(made) else np.zeros((0, 3), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(table), level, np.int32)), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)]], names=["round", "name", "a", "b"])
+                    sym, doc = new, doc[at]
+
+    return _key(docs, id_col, text_col).mapInArrow(trimmed(run), "round int, name long, a long, b long").distinct()
+
+
 def find_regions(keyed: DataFrame, window: int) -> DataFrame:
     """(name, content, id, h, s, m) of every document's regions."""
     id_type = keyed.schema["id"].dataType.simpleString()

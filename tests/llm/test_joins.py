@@ -102,6 +102,31 @@ def test_equal_windows_have_equal_anchors():
         assert s <= p < s + 20
 
 
+def test_names_are_those_of_a_global_table(spark):
+    """Each name of each round stands for one thing in all documents; rounds with a table of numbers give the same equalities."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    table = recompress.name_table(d.repartition(5))
+    assert table.count() > 1000
+    assert table.groupBy("round", "name").count().filter("count > 1").count() == 0
+    assert table.groupBy("round", "a", "b").count().filter("count > 1").count() == 0
+    # Rounds that number things in a table, in the order in which they are met, beside those of hashes.
+    texts = [r["text"] or "" for r in d.limit(60).collect()] + ["a a a b b a a a b b"] * 2
+    ws = [recompress.words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in ws])
+    numbers: dict = {}
+    number = lambda x: numbers.setdefault(x, len(numbers))
+    flat = [w for x in ws for w in x]
+    sym, plain = recompress.WordNames().of(flat), [number(w) for w in flat]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    for level, kind in enumerate(recompress.ROUNDS):
+        new, _, at, bit = recompress.shortened(sym, doc, kind, level)
+        stop = [*at[1:].tolist(), len(sym)]
+        plain = [plain[a] if b - a == 1 else number((kind, plain[a], b - a if bit is None else plain[a + 1])) for a, b in zip(at.tolist(), stop, strict=True)]
+        pairs = set(zip(new.tolist(), plain, strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+        sym, doc = new, doc[at]
+
+
 # Jaccard join
 
 
