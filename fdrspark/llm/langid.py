@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import carried_of, fold_of, slices, table, texts, trimmed, with_carried
+from fdrspark.llm.common import carried_of, fold_of, slices, stored, table, texts, trimmed, with_carried
 
 #: Bytes of a stretch that get their labels from it, bytes around them that it reads besides, and stretches that go side by side.
 CORE, MARGIN, STRETCHES = 224, 16, 512
 #: Bytes of a stretch in training. Bounds of the training sample: documents of each language, stretches of each of them, and stretches of a language that the network learns from.
 LEARN, SAMPLE_DOCS, SAMPLE_STRETCHES, LEARNT = 48, 300, 16, 1500
 HIDDEN, EPOCHS = 16, 4
+#: Up to so many languages their counts are broadcast.
+BROADCAST_LANGS = 10_000
 UNDETERMINED = "und"
 
 
@@ -211,16 +213,22 @@ class Labeller:
 def sampled_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """(id, text, lang): a bounded sample of documents of each language, by hash order of their ids.
 
-    Ids are ranked without texts, and of each task no more than ``per_lang`` a
-    language; then the texts of those picked are looked up. Rows that repeat an id
-    are one place in the order.
+    Ids are ranked without texts: those whose hash is among the least, some more
+    than ``per_lang`` of a language however many it has; then the texts of those
+    picked are looked up, null ones left out. Rows that repeat an id are one place
+    in the order.
     """
-    d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    d = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     d = d.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.col("id"))
-    picked = d.select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select(F.col("id").alias("id2"), F.col("lang").alias("lang2")).distinct()
+    counts = stored(d.groupBy(F.col("lang").alias("lang2")).agg(F.count("*").alias("rows")), "languages")
+    if counts.count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
+    place = F.xxhash64("id").bitwiseAND(F.lit(2**52 - 1)) / F.lit(2.0**52)
+    near = d.select("id", "lang").withColumn("place", place).join(counts, F.col("lang") == F.col("lang2")).filter(F.col("place") < (2 * per_lang + 100) / F.col("rows"))
+    order = Window.partitionBy("lang").orderBy("place", "id")
+    picked = near.select("id", "lang", "place").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select(F.col("id").alias("id2"), F.col("lang").alias("lang2"))
     # picked has per_lang rows a language at the most.
-    return d.join(F.broadcast(picked), (F.col("id") == F.col("id2")) & (F.col("lang") == F.col("lang2")), "left_semi")
+    return d.filter("text IS NOT NULL").join(F.broadcast(picked), (F.col("id") == F.col("id2")) & (F.col("lang") == F.col("lang2")), "left_semi")
 
 
 def training_stretches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS, per_doc: int = SAMPLE_STRETCHES) -> DataFrame:
