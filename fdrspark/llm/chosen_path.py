@@ -425,3 +425,20 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share an n-gram, and the closure of the links, which tables of the sample sizes allow. THRESHOLD is 4 / 5.
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(w[i:i + {N - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {N - 2})) AS i FROM d WHERE len(w) >= {N})
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {N - 1})),
+c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 5 * m >= 4 * (x.k + y.k - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a)
+SELECT d.doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(k, 0)::BIGINT AS n_shingles
+FROM d JOIN (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY a) USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

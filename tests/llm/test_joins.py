@@ -276,6 +276,19 @@ def test_sign_codes(spark):
     assert [r[0] for r in d.select(hamming.sign_code(F.col("v"))).collect()] == [1 - 2**63, None, 2, 0]
 
 
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from fdrspark.llm import queries as Q
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).itertuples(index=False, name=None)))
+    for name, sql in Q.SQL.items():
+        assert rows(Q.QUERIES[name](spark, SF).toPandas()) == rows(c.execute(sql).df()), name
+
+
 # Pipeline
 
 
