@@ -860,6 +860,29 @@ for _name in rivals.METHODS:
     QUERIES[f"method_{_name}"] = _rival(_name)
 for _name, _dependent in (("method_bh_stream", False), ("method_by_stream", True)):
     SQL[_name] = f"SELECT j, p AS statistic FROM ({_up_sql(_dependent)}) WHERE reject"
+#: A regression on all columns and a constant: the Gram matrix beside the unit matrix, eliminated column by column.
+_M = P + 1
+OLS_SQL = f"""WITH RECURSIVE {fx.P_SQL},
+u AS (SELECT row_id, j + 1 AS i, x AS v FROM xs UNION ALL SELECT row_id, {_M}, 1.0::DOUBLE FROM y),
+gr AS (SELECT a.i, b.i AS k, sum(a.v * b.v) AS s FROM u a JOIN u b USING (row_id) GROUP BY 1, 2),
+m0 AS (SELECT list(list_concat(r, [CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR c IN range(1, {_M + 1})]) ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY k) AS r FROM gr GROUP BY i)),
+el AS (SELECT 1 AS k, m FROM m0 UNION ALL
+  SELECT k + 1, list_transform(range(1, {_M + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+    ELSE list_transform(range(1, {2 * _M + 1}), lambda c: m[i][c] - m[i][k] / m[k][k] * m[k][c]) END) FROM el WHERE k <= {_M}),
+iv AS (SELECT unnest(range(1, {_M + 1})) AS i, m FROM el WHERE k = {_M + 1}),
+xy AS (SELECT i, sum(v * y) AS s FROM u JOIN y USING (row_id) GROUP BY i),
+co AS (SELECT iv.i, sum(m[iv.i][{_M} + xy.i] * s) AS b, any_value(m[iv.i][{_M} + iv.i]) AS d FROM iv, xy GROUP BY iv.i),
+rs AS (SELECT (SELECT sum(y * y) FROM y) - (SELECT sum(b * s) FROM co JOIN xy USING (i)) AS rss, (SELECT count(*) FROM y) - {_M} AS df),
+k AS (SELECT j, p, row_number() OVER (ORDER BY p, j) AS rank, count(*) OVER () AS m FROM (SELECT (i - 1)::INT AS j, {t_two_sided_sql('(b / sqrt(d * rss / df))', 'df')} AS p FROM co, rs WHERE i <= {P}))"""
+
+
+def _ols_up_sql(dependent: bool) -> str:
+    h = "list_sum([1.0::DOUBLE / i FOR i IN range(1, m + 1)])" if dependent else "1.0::DOUBLE"
+    return f"""{OLS_SQL}, c AS (SELECT coalesce(max(rank), 0) AS kk FROM k WHERE p <= rank * 0.1::DOUBLE / (m * {h}))
+SELECT j, {R('p')} AS statistic FROM k, c WHERE rank <= kk"""
+
+
+SQL |= {"method_bh": _ols_up_sql(False), "method_bh_ols": _ols_up_sql(False), "method_by": _ols_up_sql(True)}
 SQL["method_ko_id"] = f"""WITH {CORR_SQL}, xk AS (SELECT row_id, j, {normal_sql(3, 'row_id', 'j')} AS x FROM x),
 w AS (SELECT j, abs(c * sqrt((SELECT count(*) FROM y))) - abs(ck) AS w FROM corr JOIN (SELECT j, sum(x * y) AS ck FROM xk JOIN y USING (row_id) GROUP BY j) USING (j)),
 t AS (SELECT DISTINCT abs(w) AS t FROM w WHERE w <> 0),
