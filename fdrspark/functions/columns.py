@@ -33,6 +33,11 @@ def r6(x: Column | str) -> Column:
     return F.round(c(x), 6) + F.lit(0.0)
 
 
+def sent(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has no more than ``most`` rows, which are counted first; so long tables stay where they are."""
+    return F.broadcast(df) if len(df.columns) <= 3 and df.limit(most + 1).count() <= most else df
+
+
 def with_scalars(df: DataFrame, one: DataFrame) -> DataFrame:
     """df with the columns of a one-row aggregate."""
     return df.crossJoin(F.broadcast(one))

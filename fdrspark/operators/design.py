@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.functions.columns import present, with_scalars
+from fdrspark.functions.columns import present, sent, with_scalars
 from fdrspark.functions.rng import unit
 from fdrspark.functions.tails import normal_two_sided
 from fdrspark.operators.marginal import global_rank
@@ -55,7 +55,7 @@ def center(df: DataFrame, column: str) -> DataFrame:
 
 def xt_times(long: DataFrame, v: DataFrame, value: str = "y") -> DataFrame:
     """(j, c): X^T v. Partial sums are formed before the shuffle, so that it carries a row per column and task."""
-    return long.join(v.select("row_id", F.col(value).alias("_v")), "row_id").groupBy("j").agg(F.sum(F.col("x") * F.col("_v")).alias("c"))
+    return long.join(sent(v.select("row_id", F.col(value).alias("_v"))), "row_id").groupBy("j").agg(F.sum(F.col("x") * F.col("_v")).alias("c"))
 
 
 def x_times(long: DataFrame, w: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fdrspark.functions.columns import clip, with_scalars
+from fdrspark.functions.columns import clip, sent, with_scalars
 from fdrspark.functions.tails import normal_two_sided, t_two_sided_column
 
 
@@ -16,7 +16,7 @@ def trend_test(dosages: DataFrame, cases: DataFrame, scaled: bool = True) -> Dat
     batches share them. ``scaled`` as in ``trend_statistic``.
     """
     base = cases.agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("n1"))
-    s = dosages.join(cases, "row_id").groupBy("j").agg(F.sum("g").alias("sx"), F.sum(F.col("g") * F.col("g")).alias("sxx"), F.sum(F.col("g") * F.col("y")).alias("sxy"))
+    s = dosages.join(sent(cases), "row_id").groupBy("j").agg(F.sum("g").alias("sx"), F.sum(F.col("g") * F.col("g")).alias("sxx"), F.sum(F.col("g") * F.col("y")).alias("sxy"))
     return trend_statistic(with_scalars(s, base), scaled)
 
 
@@ -31,7 +31,7 @@ def trend_statistic(sums: DataFrame, scaled: bool = True) -> DataFrame:
 
 def marginal_regression(long: DataFrame, response: DataFrame) -> DataFrame:
     """(j, r, t, df): correlation with the response and its t statistic; columns or responses that don't vary have r 0."""
-    s = long.join(response, "row_id").groupBy("j").agg(F.corr("x", "y").alias("r"), (F.count("*") - 2).alias("df"))
+    s = long.join(sent(response), "row_id").groupBy("j").agg(F.corr("x", "y").alias("r"), (F.count("*") - 2).alias("df"))
     r = clip(F.coalesce(F.nanvl(F.col("r"), F.lit(0.0)), F.lit(0.0)), -1 + 1e-10, 1 - 1e-10)
     return s.select("j", r.alias("r"), (r * F.sqrt(F.col("df") / (1 - r * r))).alias("t"), "df")
 

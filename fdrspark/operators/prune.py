@@ -13,13 +13,13 @@ from fdrspark.functions.rng import unit
 from fdrspark.session import shared_dir
 
 
-def gram_pairs(rows: DataFrame, p: int) -> DataFrame:
-    """(j1, j2, s11, s22, s12) for j1 < j2 of rows (x array) with p elements: sums of the centred products.
+def gram_rows(rows: DataFrame, p: int) -> DataFrame:
+    """(i, v): row i of the p x p sums of centred products of rows (x array), as bytes; written to the shared folder.
 
-    Each task adds up one p x p product of its rows, so that the shuffle carries
-    p^2 / 2 numbers per task however many rows there are. Columns are centred
-    by their means before; both passes read the same rows. For p of some
-    thousands; wider matrices are clustered block by block with ``block_edges``.
+    Each task adds up the product of its rows, so that the shuffle carries p rows
+    of p numbers per task however many rows there are. Columns are centred by
+    their means before; both passes read the same rows. For p of some thousands;
+    wider matrices are clustered block by block with ``block_edges``.
     """
     means = rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m")).agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("ms")).select(F.transform("ms", lambda s: s["m"]).alias("m"))
 
@@ -27,24 +27,37 @@ def gram_pairs(rows: DataFrame, p: int) -> DataFrame:
         g = np.zeros((p, p))
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(0).to_pylist(), float) - np.array(b.column(1)[0].as_py())
+                x = np.array(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, p) - np.array(b.column(1)[0].as_py())
                 g += x.T @ x
-        i, j = np.triu_indices(p, 1)
-        d = np.diag(g)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(d[i]), pa.array(d[j]), pa.array(g[i, j])], names=["j1", "j2", "s11", "s22", "s12"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array([r.tobytes() for r in g], pa.binary())], names=["i", "v"])
 
-    out = rows.select("x").crossJoin(F.broadcast(means)).mapInArrow(run, "j1 int, j2 int, s11 double, s22 double, s12 double")
-    return out.groupBy("j1", "j2").agg(*[F.sum(s).alias(s) for s in ("s11", "s22", "s12")])
+    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(t.num_rows, p).sum(0)
+        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
 
+    parts = rows.select("x").crossJoin(F.broadcast(means)).mapInArrow(run, "i int, v binary")
+    return _written(parts.groupBy("i").applyInArrow(add, "i int, v binary"))
 
-def correlations(rows: DataFrame, p: int, eps: float = 1e-12) -> DataFrame:
-    """(j1, j2, r)"""
-    g = gram_pairs(rows, p)
-    return g.select("j1", "j2", (F.col("s12") / F.greatest(F.sqrt(F.col("s11") * F.col("s22")), F.lit(eps))).alias("r"))
+
+def correlations(rows: DataFrame, p: int, eps: float = 1e-12, above: float = -1.0) -> DataFrame:
+    """(j1, j2, r) for j1 < j2 with |r| above a bound; other pairs never leave their task."""
+    g = gram_rows(rows, p)
+    at = F.col("i") * 8
+    own = {r["i"]: np.frombuffer(bytes(r["d"]))[0] for r in g.select("i", F.substring("v", at + 1, F.lit(8)).alias("d")).collect()}  # p numbers
+    size = np.array([own.get(i, 0.0) for i in range(p)])
+
+    def run(batches):
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                r = np.frombuffer(v) / np.maximum(np.sqrt(size[i] * size), eps)
+                j = np.flatnonzero((np.arange(p) > i) & (np.abs(r) > above))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i, np.int32)), pa.array(j.astype(np.int32)), pa.array(r[j])], names=["j1", "j2", "r"])
+
+    return g.mapInArrow(run, "j1 int, j2 int, r double")
 
 
 def edges(rows: DataFrame, p: int, threshold: float = 0.7) -> DataFrame:
-    return correlations(rows, p).filter(F.abs("r") > threshold)
+    return correlations(rows, p, above=threshold)
 
 
 def block_edges(features: DataFrame, threshold: float = 0.7, block: int = 1024) -> DataFrame:

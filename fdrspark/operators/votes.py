@@ -35,11 +35,13 @@ def increments(phi: DataFrame) -> DataFrame:
     return phi.withColumn("dphi", F.col("phi") - F.coalesce(before, F.lit(0.0)))
 
 
-def deflated(phi: DataFrame, p: int, n_dummies: int, eps: float = EPS) -> DataFrame:
+def deflated(phi: DataFrame, p: int, n_dummies: int, eps: float = EPS, held_only: bool = False) -> DataFrame:
     """(t, j, phi, phi_prime): for each horizon t the increments up to it, each shrunk by what dummies would have taken.
 
     The shrinkage at s depends on the horizon, because it looks at the columns
-    that more than half of the experiments hold at t.
+    that more than half of the experiments hold at t. Thresholds are one half and
+    above, so that an estimate needs phi_prime of these columns alone: with
+    ``held_only`` no others are worked out, and theirs is 0.
     """
     d = increments(phi)
     av = d.groupBy(F.col("t").alias("s")).agg(F.sum("phi").alias("av"))
@@ -48,7 +50,8 @@ def deflated(phi: DataFrame, p: int, n_dummies: int, eps: float = EPS) -> DataFr
     delta = held.join(by, "j").filter("s <= h").groupBy("h", "s").agg(F.sum("dphi").alias("dd"))
     denom = F.lit(float(n_dummies)) - F.col("s") + 1.0
     scale = delta.join(av, "s").withColumn("scale", F.when((F.col("dd") > eps) & (denom > 0), 1.0 - (p - F.col("av")) / denom / F.col("dd")).otherwise(0.0))
-    pp = by.join(scale.select("h", "s", "scale"), "s").groupBy("h", "j").agg(F.sum(F.col("dphi") * F.col("scale")).alias("phi_prime"))
+    rows = held.join(by, "j").filter("s <= h").join(scale.select("h", "s", "scale"), ["h", "s"]) if held_only else by.join(scale.select("h", "s", "scale"), "s")
+    pp = rows.groupBy("h", "j").agg(F.sum(F.col("dphi") * F.col("scale")).alias("phi_prime"))
     return phi.join(pp.withColumnRenamed("h", "t"), ["t", "j"], "left").select("t", "j", "phi", F.coalesce("phi_prime", F.lit(0.0)).alias("phi_prime"))
 
 

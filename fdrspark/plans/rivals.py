@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from fdrspark.operators.design import xt_times
 from fdrspark.operators.votes import fdp_tpp
 from fdrspark.plans import selector
 from fdrspark.plans.explicit import TerminatingPath
+from fdrspark.session import shared_dir
 from fdrspark.streaming import sums as streams
 
 #: The widest matrix that a path screens; wider ones are screened column by column.
@@ -216,6 +218,11 @@ def run_all(spark: SparkSession, long: DataFrame, response: DataFrame, truth: li
     """A row per method: n_disc, fdp, tpp, runtime_s, error; a method that fails is a row with its error."""
     t = spark.createDataFrame([(j,) for j in truth], "j int")
     rows = []
+    # The data are made once, and read by each method.
+    at = f"{shared_dir(spark)}/methods-{uuid.uuid4().hex}"
+    long.write.parquet(f"{at}/long")
+    response.write.parquet(f"{at}/response")
+    long, response = (spark.read.schema(d.schema).parquet(f"{at}/{name}") for d, name in ((long, "long"), (response, "response")))
     for m in methods:
         began = time.time()
         try:

@@ -108,7 +108,7 @@ def entries_of(states: DataFrame) -> DataFrame:
 
 def _surface(spark, entries, p, n_dummies, t_max, o) -> tuple[DataFrame, DataFrame]:
     real = entries.filter("kind = 'real'").select("k", F.col("idx").alias("j"), "t0")
-    phi = V.deflated(V.votes(real, o.experiments, t_max), p, n_dummies)
+    phi = V.deflated(V.votes(real, o.experiments, t_max), p, n_dummies, held_only=True)
     horizons = spark.range(1, t_max + 1).select(F.col("id").cast("int").alias("t"))
     return phi, V.fdp_surface(phi, V.voting_grid(spark, o.experiments), horizons)
 
@@ -116,7 +116,7 @@ def _surface(spark, entries, p, n_dummies, t_max, o) -> tuple[DataFrame, DataFra
 def _meets(entries: DataFrame, p: int, n_dummies: int, o: Options, v: float = 0.75) -> bool:
     """Whether the estimate after the first null column meets the target."""
     e = entries.filter("kind = 'real' AND t0 = 0").select("k", F.col("idx").alias("j"), "t0")
-    phi = V.deflated(V.votes(e, o.experiments, 1), p, n_dummies)
+    phi = V.deflated(V.votes(e, o.experiments, 1), p, n_dummies, held_only=True)
     row = phi.filter(F.col("phi") > v).agg(F.count("*").alias("r"), F.sum(1 - F.col("phi_prime")).alias("num")).first()
     return not row["r"] or min(1.0, row["num"] / row["r"]) <= o.target
 
@@ -194,7 +194,7 @@ def select(spark: SparkSession, long: DataFrame, response: DataFrame, o: Options
         phi, surface = _surface(spark, entries, p, n_dummies, t_max, o)
         if fixed:  # the votes at t_max alone, as if they came with the first null column
             last = phi.filter(F.col("t") == t_max).select(F.lit(1).alias("t"), "j", "phi")
-            phi = V.deflated(last, p, n_dummies)
+            phi = V.deflated(last, p, n_dummies, held_only=True)
             surface = V.fdp_surface(phi, V.voting_grid(spark, o.experiments), spark.range(1).select(F.lit(1).alias("t")))
     else:
         # The stopping rule looks at checks one after another; races run in chunks of strides, and go on from their states.
