@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import hashlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fdrspark.session import shared_dir
+
 #: Most bytes of words, with an entry's overhead each, whose names one worker keeps; beyond it the memo starts anew.
 MEMO_BYTES, ENTRY_BYTES = 24 << 20, 150
 #: Most bytes of an Arrow batch on its way to or from a Python worker; a longer row is a batch of its own.
@@ -101,19 +102,25 @@ def slices(batch: pa.RecordBatch, i: int, most: int = 2 << 20):
             yield batch.slice(lo, hi - lo)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="fdrspark-shared-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{d}")
-        d = f"file://{d}"
-    return d.rstrip("/")
+#: The tables that this process has written, in their order.
+_made: list[str] = []
+
+
+def tables_made() -> int:
+    return len(_made)
+
+
+def release(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables made as numbers first to last (not included): those that nothing reads any more."""
+    for k in range(first, last):
+        if _made[k]:
+            _forget(spark, _made[k])
+            _made[k] = ""
 
 
 def _forget(spark: SparkSession, path: str) -> None:
     try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # a folder of its own
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session has ended; the folder's owner clears it
         pass
@@ -125,6 +132,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     path = f"{shared_dir(spark)}/fdrspark-{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    _made.append(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
