@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fdrspark.llm import bpe, chosen_path, langid, mixing, secrets
-from fdrspark.llm.common import fold_of, stored, table
+from fdrspark.llm.common import fold_of, release, stored, table, tables_made
 
 #: A document stays if some language holds at least this mean probability over its bytes. On the sample tables no held-out document in a language falls below; a text that the network can't place at all does.
 LEAST_SCORE = 0.35
@@ -84,9 +84,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each on the stored table of the one before; what a stage has made is deleted once nothing reads it."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    first = tables_made()
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, first, tables_made() - 1)  # all but this stage's own result
+        first = tables_made() - 1
+    return STAGES[-1][1](spark, docs, sf_dir)
