@@ -319,4 +319,38 @@ def test_pipeline_stages(spark, tmp_path):
     plan = {r["doc_id"]: r["copies"] for r in mix_plan(seen["secrets"]).collect() if r["copies"]}
     assert Counter(r["doc_id"] for r in seen["mixing"].collect()) == plan
     assert Counter(r["doc_id"] for r in seen["byte_bpe"].collect()) == plan
+    import public_tokenizers
+    import tiktoken
+
+    from fdrspark.llm import bpe
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.DEFAULT_RANKS), special_tokens={})
+    want = Counter((r["doc_id"], *enc.encode_ordinary(r["text"])) for r in seen["mixing"].collect())
+    assert Counter((r["doc_id"], *r["ids"]) for r in seen["byte_bpe"].collect()) == want
     assert P.run(spark, str(tmp_path)).count() == sum(plan.values())
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, empty and long texts, extra columns with clashing names; an empty table."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (None, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "some words here, token=abcdefgh", None, None, 31), (3, "some words here, token=abcdefgh", None, None, 31), (None, "no id but text", "en", "b", 14), (None, "no id, other text", "en", "b", 17), (4, long, "en", "a", len(long)), (5, "!!! 123", "en", "a", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("carried", "id", "h", "label", "copies", "spans", "ids", "rate", "_salt"):
+        d = d.withColumn(name, F.lit("clash"))
+    for at, part in (("odd", d), ("none", d.limit(0))):
+        part.write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{at}/documents.parquet")
+        sizes = []
+        for name, stage in P.STAGES:
+            stage(spark, docs, f"{tmp_path}/{at}").write.parquet(f"{tmp_path}/{at}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{at}/{name}")
+            sizes.append(docs.count())
+            if name == "secrets":
+                texts = sorted(r["text"][:20] for r in docs.collect())
+        if at == "none":
+            assert sizes == [0] * 5
+        else:
+            assert sizes[:3] == [5, 4, 4] and texts == ["no id but text", "no id, other text", "some words here, [se", "word0 word1 word2 wo"]
+            assert docs.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
