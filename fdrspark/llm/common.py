@@ -185,6 +185,15 @@ def join_split(rows: DataFrame, side: DataFrame, key: str, side_key: str, hot: D
     return dealt.join(sent, same if on is None else same & on(dealt, sent), how).drop("_salt", "_salt2")
 
 
+def left_join_present(rows: DataFrame, side: DataFrame, key: str, side_key: str, hot: DataFrame | None, spread: list[str]) -> DataFrame:
+    """rows left joined to side by ``join_split``; rows without a key, which a shuffle would bring together, stay out of it.
+
+    rows is read twice, so it should be a stored table.
+    """
+    alone = rows.filter(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema])
+    return join_split(rows.filter(F.col(key).isNotNull()), side, key, side_key, hot, spread, "left").unionByName(alone)
+
+
 def with_carried(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> tuple[DataFrame, list[str], str]:
     """docs as (id, text, other columns to go along), these columns' names, and their part of a schema as the struct ``carried``.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import hot_keys, join_split, slices, stored, table, texts, trimmed
+from fdrspark.llm.common import hot_keys, left_join_present, slices, stored, table, texts, trimmed
 from fdrspark.llm.license_texts import TEMPLATES
 
 #: Least cosine of a notice to count.
@@ -206,7 +206,9 @@ def scan_files(files: DataFrame, *, templates=TEMPLATES, least: float = LEAST, c
     # Words of the join stand in less than the share ``common`` of the texts, so none is hot.
     weighed = unsettled.select("key", F.explode("words").alias("word")).join(counts, "word").groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("word", "n")).alias("weighed"))
     settled = stored(unsettled.join(weighed, F.col("key") == F.col("k")).select("key", "text", "weighed").mapInArrow(trimmed(settle), "key2 binary, lic2 string, score2 double, lead2 boolean"), "license_scores")
-    seen = first.select("id", "path", "named", "own_license", "own_score", "lead", "key").join(settled, F.col("key") == F.col("key2"), "left")
+    copies = first.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1000")
+    seen = first.select("id", "path", "named", "own_license", "own_score", "lead", "key")
+    seen = left_join_present(seen, settled, "key", "key2", hot_keys(copies, "key", "n"), ["id", "path"])
     seen = seen.select("id", "path", F.coalesce("lic2", "own_license").alias("own_license"), F.coalesce("score2", "own_score").alias("own_score"), (F.coalesce("lic2", "own_license").isNotNull() & (F.coalesce("lead2", "lead") | F.col("named"))).alias("speaks"))
     above = F.regexp_replace("path", "/?[^/]*$", "")
     seen = seen.withColumn("dir", F.when(F.col("path").startswith("/") & (above == ""), "/").otherwise(above))
@@ -224,7 +226,7 @@ def scan_files(files: DataFrame, *, templates=TEMPLATES, least: float = LEAST, c
     up = counts.select("dir", F.explode(above).alias("x")).select("dir", "x.steps", "x.a")
     near = F.broadcast(spoken) if spoken.count() <= BROADCAST_DIRS else spoken
     near = up.join(near, up["a"] == near["d"]).groupBy(F.col("dir").alias("dir2")).agg(F.min(F.struct("steps", "a", "dir_license")).alias("n"))
-    got = join_split(seen, near, "dir", "dir2", hot_keys(counts, "dir", "n"), ["id", "path"], "left")
+    got = left_join_present(seen, near, "dir", "dir2", hot_keys(counts, "dir", "n"), ["id", "path"])
     own = F.col("own_license").isNotNull()
     return got.select("id", "path", "own_license", "own_score", F.coalesce("own_license", "n.dir_license").alias("license"), F.when(~own, F.col("n.a")).alias("license_dir"), F.when(own, 0).otherwise(F.col("n.steps") + 1).alias("steps"))
 
