@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fdrspark.llm.common import WordNames, hot_keys, join_split, mix, pair_name, slices, stored, table, text_digest, texts, trimmed, words_of
+from fdrspark.llm.common import WordNames, hot_keys, join_split, left_join_present, mix, pair_name, slices, stored, table, text_digest, texts, trimmed, words_of
 from fdrspark.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -379,7 +379,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     ids = named.groupBy(F.col("label").alias("label2")).agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
     result = join_split(named, ids, "label", "label2", hot_keys(ids, "label2", "n"), ["fp"]).select(F.col("fp").alias("fp2"), "label", "class_id", "n_links")
     # Copies of one set lie together under its fingerprint, and may be very many.
-    out = join_split(every.select("id", "h", "fp", "size"), result, "fp", "fp2", hot_keys(nodes, "fp", "copies"), ["id", "h"], "left")
+    out = left_join_present(every.select("id", "h", "fp", "size"), result, "fp", "fp2", hot_keys(nodes, "fp", "copies"), ["id", "h"])
     alone = F.col("fp").isNull()
     return out.select("id", "h", "size", "label", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
