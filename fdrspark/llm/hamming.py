@@ -112,6 +112,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "
         if not n_codes or going.isEmpty():
             break
         probes = _probes(going, segments, s).withColumn("bucket2", F.xxhash64("j", "value")).withColumnRenamed("j", "j2")
+        # Values compress so well that a broadcast would look small; sides are sorted and merged instead.
+        probes = probes.hint("shuffle_merge")
         met = join_split(entries, probes, "bucket", "bucket2", hot, ["code"], on=lambda a, b: a["j"] == b["j2"])
         # Met before: in an earlier segment at this radius, or in any at a smaller one.
         apart = [_segment_distance(F.col("code"), F.col("q"), a, w) for a, w in segments]
@@ -130,7 +132,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "
     # A code that is near to very many queries is looked up by them all.
     found = stored(done.select("q", "code", "distance"), "found")
     wanted = hot_keys(found.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1000"), "code", "n")
-    each = join_split(found, rows.withColumnRenamed("code", "code2"), "code", "code2", wanted, ["q"])
+    each = join_split(found, rows.withColumnRenamed("code", "code2").hint("shuffle_merge"), "code", "code2", wanted, ["q"])
     rank = Window.partitionBy("q").orderBy("distance", "id")
     each = stored(each.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("q", "rank", "id", "distance"), "nearest")
     again = hot_keys(asked.groupBy("q").agg(F.count("*").alias("n")).filter("n > 1000"), "q", "n")
