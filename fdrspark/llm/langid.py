@@ -133,11 +133,13 @@ class Labeller:
     def __init__(self, net: BiGRU):
         self.net, h = net, net.hidden
         self.sides = {}
+        c = len(net.classes)
         for d in "fb":
-            # A gate's sigmoid is (1 + tanh(x / 2)) / 2; the halves go into the weights.
-            half = np.concatenate([np.full(2 * h, 0.5, np.float32), np.ones(h, np.float32)])
-            self.sides[d] = np.ascontiguousarray(net.p[f"x{d}"] * half), np.ascontiguousarray((net.p[f"u{d}"] * half).T)
-        self.out = np.ascontiguousarray(net.p["out"].T)
+            # A gate's sigmoid is 1 / (1 + exp(-x)) and tanh is 1 - 2 / (1 + exp(2 x)); signs and factors go into the weights.
+            scale = np.concatenate([np.full(2 * h, -1, np.float32), np.full(h, 2, np.float32)])
+            out = net.p["out"][:h] if d == "f" else net.p["out"][h:]
+            # One product gives a step's gates and the labels of the state before it.
+            self.sides[d] = np.ascontiguousarray(net.p[f"x{d}"] * scale), np.concatenate([(net.p[f"u{d}"] * scale).T, out.T]).reshape(3 * h + c, h)
 
     def _logits(self, x: np.ndarray, live: np.ndarray, d: str) -> np.ndarray:
         """(time, class, batch) of bytes (time, batch); at each time the first ``live`` rows have one. States are (hidden, batch).
@@ -145,30 +147,40 @@ class Labeller:
         Every step writes into the same few arrays, which stay in the cache.
         """
         h, (wx, u) = self.net.hidden, self.sides[d]
-        head = np.ascontiguousarray(self.out[:, :h] if d == "f" else self.out[:, h:])
+        head = np.ascontiguousarray(u[3 * h :])
         T, B = x.shape
         logits = np.zeros((T, len(head), B), np.float32)
         width = 0
-        for t in range(T):
-            k = int(live[t])
-            if k != width:
-                s = np.zeros((h, k), np.float32) if t == 0 else np.ascontiguousarray(s[:, :k])
-                rows, a, b, o = np.empty((k, 3 * h), np.float32), np.empty((3 * h, k), np.float32), np.empty((3 * h, k), np.float32), np.empty((len(head), k), np.float32)
-                g, n, m, width = a[: 2 * h], a[2 * h :], b[2 * h :], k
-            np.take(wx, x[t, :k], axis=0, mode="clip", out=rows)
-            np.copyto(a, rows.T)
-            np.matmul(u, s, out=b)
-            g += b[: 2 * h]
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            m *= g[h:]
-            n += m
-            np.tanh(n, out=n)
-            s -= n
-            s *= g[:h]
-            s += n
-            logits[t, :, :k] = np.matmul(head, s, out=o)
+        s = np.zeros((h, B), np.float32)
+        with np.errstate(over="ignore"):  # an infinite exp gives a gate of 0 or a tanh of 1
+            for t in range(T):
+                k = int(live[t])
+                fresh = k != width
+                if fresh:
+                    if t:
+                        logits[t - 1, :, :width] = head @ s
+                    s = np.ascontiguousarray(s[:, :k])
+                    rows, a, b = np.empty((k, 3 * h), np.float32), np.empty((3 * h, k), np.float32), np.empty((len(u), k), np.float32)
+                    g, n, m, width = a[: 2 * h], a[2 * h :], b[2 * h : 3 * h], k
+                np.take(wx, x[t, :k], axis=0, mode="clip", out=rows)
+                np.copyto(a, rows.T)
+                np.matmul(u, s, out=b)
+                if not fresh:
+                    logits[t - 1, :, :k] = b[3 * h :]
+                g += b[: 2 * h]
+                np.exp(g, out=g)
+                g += 1
+                m /= g[h:]
+                n += m
+                np.exp(n, out=n)
+                n += 1
+                np.divide(-2, n, out=n)
+                n += 1
+                s -= n
+                s /= g[:h]
+                s += n
+        if T:
+            logits[T - 1, :, :width] = head @ s
         return logits
 
     def pooled(self, batch: list[str]) -> np.ndarray:
@@ -202,7 +214,10 @@ class Labeller:
             np.exp(y, out=y)
             y /= y.sum(1, keepdims=True)
             mine = inside & (t >= at[rows] - lo[rows]) & (t < np.minimum(at[rows] + CORE, size[doc[rows]]) - lo[rows])
-            best = y.argmax(1)
+            best, top = np.zeros((T, len(rows)), np.intp), y[:, 0].copy()
+            for q in range(1, c):
+                best[y[:, q] > top] = q
+                np.maximum(top, y[:, q], out=top)
             for q in range(c):
                 np.add.at(out[:, q], doc[rows], np.where(mine, y[:, q], 0).sum(0, dtype=np.float64))
                 np.add.at(out[:, c + q], doc[rows], (mine & (best == q)).sum(0))

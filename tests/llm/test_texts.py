@@ -459,6 +459,21 @@ def test_every_byte_of_whole_texts_gets_a_label():
         assert np.allclose(row[:3], want / max(1, len(data)), atol=1e-4)
 
 
+def test_a_step_needs_one_product_and_saturated_gates_stay_finite(monkeypatch):
+    """The product that gives a step's gates gives the labels of the state before it too, but where rows end; weights that overflow exp give gates of 0 and 1."""
+    net = langid.BiGRU(["a", "b", "c"], hidden=5, seed=3)
+    calls, plain = [], np.matmul
+    with monkeypatch.context() as m:
+        m.setattr(langid.np, "matmul", lambda *a, **k: calls.append(1) or plain(*a, **k))
+        langid.Labeller(net).pooled(["x" * 200])
+    assert len(calls) <= 2 * 200
+    for name in ("xf", "xb"):
+        net.p[name] *= 500
+    x = "some words, of a kind"
+    got = langid.Labeller(net).pooled([x])[0]
+    assert np.allclose(got[:3], net.probabilities(np.frombuffer(x.encode(), np.uint8)[:, None])[0][:, 0].mean(0), atol=1e-5)
+
+
 def test_states_reach_over_words():
     """The label of a word depends on the words around it."""
     net = langid.BiGRU(["a", "b"], hidden=4)
