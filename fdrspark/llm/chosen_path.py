@@ -22,6 +22,8 @@ TOKENS = 64
 CHOICES = 2.5
 #: Nodes of up to LEAF sets are compared all by all, those of more than TASK sets in pairs of blocks, so that no task has more; larger nodes are split, at most DEPTH times, then dealt in blocks as well.
 LEAF, DEPTH, TASK = 4000, 5, 1000
+#: Sets of a node above TASK that differ from its pivot in NEAR tokens at the most are taken out of it, and again while a round takes SHARE of the rows. A pivot has the most frequent tokens of some PIVOT_SETS sets, which no result depends on.
+NEAR, SHARE, PIVOT_SETS = 16, 0.25, 64
 #: Distinct sets of a candidate class, and bytes of them, that make a block; larger classes are dealt in pairs of blocks, so that a set is sent once for each block of its class.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _FACTORS = mix(np.arange(TOKENS, dtype=np.uint64), 11) | np.uint64(1)
@@ -248,6 +250,59 @@ def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     return d.withColumn("pair", F.xxhash64(group, low, high)).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("_n", "_own", "_other")
 
 
+def _pivots(met: DataFrame) -> DataFrame:
+    """(node2, n2, tokens2): at each place the token that most of some PIVOT_SETS sets of a node have; rows are (node, n, fp, size, tokens)."""
+    some = met.filter(F.pmod(F.xxhash64("fp"), F.col("n")) < PIVOT_SETS)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for sets in batch.column(2).to_pylist():
+                t = np.sort(np.frombuffer(b"".join(sets), np.uint32).reshape(-1, TOKENS), axis=0)
+                # How often each token stands before it in its sorted column.
+                run_of = np.zeros(t.shape, np.int64)
+                for i in range(1, len(t)):
+                    run_of[i] = np.where(t[i] == t[i - 1], run_of[i - 1] + 1, 0)
+                out.append(t[run_of.argmax(0), np.arange(TOKENS)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["node2", "n2", "tokens2"])
+
+    held = some.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("sets"))
+    return stored(held.mapInArrow(trimmed(run), "node2 long, n2 long, tokens2 binary"), "pivots")
+
+
+def _around_pivots(met: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between sets of nodes (node, n, fp, size, tokens), and the nodes' rows that are left, with n anew.
+
+    Sets that differ from their node's pivot in NEAR tokens at the most are taken
+    out of the node, if they are half of those that get linked. What shares ``least`` tokens with one of these differs from the
+    pivot in TOKENS - least more at the most, whatever the pivot is; all such sets
+    are linked together, so those taken out need no further comparison. A row is
+    read once a round.
+    """
+    far = least - NEAR
+    pivots = _pivots(met)
+    both = join_split(met, pivots, "node", "node2", hot_keys(pivots, "node2", "n2"), ["fp"], "left").select("node", "fp", "size", "tokens", "tokens2")
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                same, known = np.zeros(part.num_rows, np.int64), part.column(4).is_valid()
+                at = np.flatnonzero(known.to_numpy(zero_copy_only=False))
+                same[at] = (_tokens(part.column(3).filter(known)) == _tokens(part.column(4).filter(known))).sum(1)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array(same)], names=["node", "fp", "size", "tokens", "same"])
+
+    held = stored(both.mapInArrow(trimmed(run), "node long, fp binary, size long, tokens binary, same long"), "around")
+    # Sets that are only near what is taken join the candidate class, so a node where these are the most stays whole.
+    ones = held.filter(F.col("same") >= far).groupBy(F.col("node").alias("node2")).agg(F.min("fp").alias("b"), F.count("*").alias("n2"), F.count_if(F.col("same") >= TOKENS - NEAR).alias("taken"))
+    ones = stored(ones.filter(F.col("taken") * 2 >= F.col("n2")).drop("taken"), "ones")
+    joined = stored(join_split(held, ones, "node", "node2", hot_keys(ones, "node2", "n2"), ["fp"], "left").select("node", "fp", "size", "tokens", "same", "b"), "joined")
+    links = stored(joined.filter((F.col("same") >= far) & (F.col("fp") != F.col("b"))).select(F.col("fp").alias("a"), "b").distinct(), "links")
+    rest = joined.filter((F.col("same") < TOKENS - NEAR) | F.col("b").isNull()).select("node", "fp", "size", "tokens")
+    counts = stored(rest.groupBy(F.col("node").alias("node2")).agg(F.count("*").alias("n")), "rest")
+    return links, stored(join_split(rest, counts, "node", "node2", hot_keys(counts, "node2", "n"), ["fp"]).select("node", "n", "fp", "size", "tokens"), "left")
+
+
 def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, choices: float = CHOICES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """(a, b): links that hold together all sets whose Jaccard similarity reaches the threshold, and maybe others.
 
@@ -255,8 +310,9 @@ def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, recall: float
     the children named by tokens that it chooses, and from a node of more than
     ``leaf`` sets on to that node's children. Sets of a small node are compared by
     their embeddings with a margin of five deviations. Nodes that are still
-    larger after ``depth`` splits hold sets that are alike throughout; these are
-    compared in pairs of blocks.
+    larger after ``depth`` splits are compared in pairs of blocks. Before that, what
+    lies around a pivot is taken out of nodes above TASK, so that a large group of
+    near copies is neither split nor dealt.
     """
     least = math.floor(TOKENS * threshold - 5 * math.sqrt(TOKENS * threshold * (1 - threshold)))
     paths = _paths(nodes.select("fp", "tokens"), choices, runs_for(recall, choices, threshold))
@@ -267,8 +323,17 @@ def candidates(nodes: DataFrame, *, threshold: float = THRESHOLD, recall: float
         met = join_split(paths, many, "node", "node2", hot_keys(many, "node2", "n"), ["fp"]).select("node", "n", "fp").dropDuplicates(["node", "fp"])
         met = stored(met.join(nodes, "fp").select("node", "n", "fp", "size", "tokens"), f"met{level}")
         task = min(TASK, leaf)
-        small = met.filter(F.col("n") <= task).withColumn("side", F.lit(0)).select("node", "side", "fp", "size", "tokens")
-        dealt = _block_pairs(met.filter((F.col("n") > task) & (F.lit(level == depth) | (F.col("n") <= leaf))), "node", F.ceil(F.col("n") / F.lit(max(1, task // 2))))
+        few, met = met.filter(F.col("n") <= task), met.filter(F.col("n") > task)
+        rows = met.count()
+        while rows:
+            links, left = _around_pivots(met, least)
+            found.append(links)
+            few, met = few.unionByName(left.filter(F.col("n") <= task)), left.filter(F.col("n") > task)
+            if left.count() > (1 - SHARE) * rows:
+                break
+            rows = met.count()
+        small = few.withColumn("side", F.lit(0)).select("node", "side", "fp", "size", "tokens")
+        dealt = _block_pairs(met.filter(F.lit(level == depth) | (F.col("n") <= leaf)), "node", F.ceil(F.col("n") / F.lit(max(1, task // 2))))
         dealt = dealt.drop("node").withColumnRenamed("pair", "node").select("node", "side", "fp", "size", "tokens")
         found.append(stored(_near_pairs(small.unionByName(dealt), least, threshold), f"near{level}"))
         large = met.filter(F.col("n") > leaf)

@@ -185,6 +185,22 @@ def test_classes_with_splits_and_blocks(spark):
     check_classes(spark, texts, leaf=8, depth=2, block=16)
 
 
+def test_a_large_group_of_near_copies_is_not_dealt_to_pairs_of_blocks(spark, monkeypatch):
+    """What lies around a pivot leaves its node before that is dealt, so that rows grow with the group, not with its square."""
+    texts, dealt, plain = near_copies(np.random.default_rng(5), 1, 150, edits=4), [], chosen_path._block_pairs
+
+    def counted(rows, group, blocks):
+        out = plain(rows, group, blocks)
+        if group == "node":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "_block_pairs", counted)
+    check_classes(spark, texts, leaf=8, depth=0)
+    # A set goes to some 15 nodes.
+    assert sum(dealt) <= 15 * len(texts)
+
+
 def test_a_common_passage_links_nothing(spark):
     rng = np.random.default_rng(3)
     passage = " ".join(f"p{i}" for i in range(60))
